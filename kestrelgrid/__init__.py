@@ -1 +1 @@
-"""Spark-native analytics over occurrence records and pixel tables."""
+"""Spark-native analytics over occurrence records, pixel tables and species surfaces."""

@@ -1 +1 @@
-"""Spark-native analytics over occurrence records and pixel tables."""
+"""Column expressions: no shuffle, no Python."""

@@ -1 +1 @@
-"""Spark-native analytics over occurrence records and pixel tables."""
+"""DataFrame-to-DataFrame operators."""

@@ -1 +1 @@
-"""Spark-native analytics over occurrence records and pixel tables."""
+"""Queries over the driver tables, each with the SQL that checks it."""

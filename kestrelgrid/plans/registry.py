@@ -1,4 +1,4 @@
-"""All queries of the engine and the SQL that checks them, collected from the query modules."""
+"""All queries of the engine and the SQL that checks them."""
 
 from __future__ import annotations
 

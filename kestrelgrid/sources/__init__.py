@@ -1 +1 @@
-"""Spark-native analytics over occurrence records and pixel tables."""
+"""Readers, writers and the shared scratch folder."""

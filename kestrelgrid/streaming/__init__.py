@@ -1 +1 @@
-"""Spark-native analytics over occurrence records and pixel tables."""
+"""Incremental runs over Structured Streaming."""
