@@ -147,3 +147,8 @@ def thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def round6(df: DataFrame) -> DataFrame:
     """Doubles to six decimals, so that results compare across engines."""
     return df.select(*[F.round(c, 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+def round9(df: DataFrame) -> DataFrame:
+    """As :func:`round6`, for means of short decimals, which may end in a five at the seventh place."""
+    return df.select(*[F.round(c, 9).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
