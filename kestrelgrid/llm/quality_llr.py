@@ -19,6 +19,10 @@ from .common import bounded_batches, per_batch, text_or_empty
 
 #: Bytes of an n-gram, buckets of the hash (16 bits), weight of the smoothing in n-grams for each bucket.
 N, BUCKETS, SMOOTH = 3, 1 << 16, 1.0
+#: Buckets of a packed block.
+BLOCK = 1024
+#: Bits of the sieve that spares most texts the join with the trusted keys.
+SIEVE = 1 << 24
 #: Texts score at least this to be kept.
 THRESHOLD = -0.5
 MIN_WORDS, MAX_REPEAT = 50, 50
@@ -64,36 +68,69 @@ def base_failed(n_words: int, n_repeat: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT * n_words
 
 
-def ngram_totals(rows: DataFrame, column: str = "text", trusted: str | None = None) -> DataFrame:
-    """bucket, raw, target: n-grams of all rows, and of those whose boolean ``trusted`` is true. At most BUCKETS rows."""
+def ngram_totals(rows: DataFrame, column: str = "text") -> np.ndarray:
+    """N-grams of all rows by bucket.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, BUCKETS), np.int64)
+    A task sends its counts as BUCKETS / BLOCK packed blocks. Blocks with the same number meet in one task,
+    which adds them up as they stream in; the driver gets at most BUCKETS sums.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, held, size = np.zeros(BUCKETS, np.int64), [], 0
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.append(ngram_buckets(text.encode()))
+                size += len(held[-1])
+                if size > 1 << 21:
+                    total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+                    held, size = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=BUCKETS)
+        if total.any():
+            blocks = total.reshape(-1, BLOCK)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(blocks)), pa.int32()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for text, good in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                c = np.bincount(ngram_buckets(text.encode()), minlength=BUCKETS)
-                total[0] += c
-                if good:
-                    total[1] += c
-        at = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[0][at]), pa.array(total[1][at])], ["bucket", "raw", "target"])
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(counts, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "counts"])
 
     bounded_batches(rows.sparkSession)
-    parts = rows.select(text_or_empty(column), (F.col(trusted) if trusted else F.lit(False)).alias("good")).mapInArrow(run, "bucket int, raw long, target long")
-    return parts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    parts = rows.select(text_or_empty(column)).mapInArrow(count, "block int, counts binary")
+    out = np.zeros((BUCKETS // BLOCK, BLOCK))
+    for r in parts.repartition("block").mapInArrow(add, "block int, counts binary").collect():
+        out[r.block] = np.frombuffer(r.counts, np.int64)
+    return out.ravel()
 
 
-def log_ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", column: str = "text") -> np.ndarray:
-    """log p_target - log p_raw of each bucket. ``trusted`` has the keys of the trusted rows.
+def _slot(key: str):
+    return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(SIEVE))
 
-    All rows are counted in one pass: each row carries whether it is trusted, by a join on the key in which
-    adaptive execution may split or broadcast by measured size. The driver receives the bucket totals only.
-    """
-    t = trusted.select(F.col(key).alias("__k")).where("__k IS NOT NULL").distinct().withColumn("__good", F.lit(True))
-    rows = docs.select(F.col(key).alias("__k"), F.col(column).alias("text")).join(t, "__k", "left")
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for r in ngram_totals(rows, "text", "__good").collect():
-        raw[r.bucket], target[r.bucket] = r.raw, r.target
+
+def trusted_rows(docs: DataFrame, trusted: DataFrame, key: str, column: str) -> DataFrame:
+    """The texts of the rows whose key is in ``trusted``: the sieve lets few others reach the join, which then is exact."""
+    bounded_batches(docs.sparkSession)
+    keys = trusted.select(F.col(key).cast(docs.schema[key].dataType).alias("__k")).where("__k IS NOT NULL").distinct()
+    slots = keys.select(_slot("__k").alias("slot"))
+    words = slots.groupBy(F.floor(F.col("slot") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("bits")).toPandas()
+    bitmap = np.zeros(SIEVE // 64, "<i8")
+    bitmap[words["at"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def may_be(batch: pa.RecordBatch) -> pa.RecordBatch:
+        slot = batch.column(2).to_numpy(zero_copy_only=False)
+        return batch.filter(pa.array((sent.value[slot >> 6] >> (slot & 63) & 1).astype(bool))).select([0, 1])
+
+    rows = docs.select(F.col(key).alias("__k"), text_or_empty(column)).withColumn("__slot", _slot("__k"))
+    rows = per_batch(rows, may_be, f"__k {keys.schema['__k'].dataType.simpleString()}, {column} string")
+    return rows.join(keys.hint("shuffle_hash"), "__k", "left_semi").select(column)
+
+
+def log_ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", column: str = "text") -> np.ndarray:
+    """log p_target - log p_raw of each bucket, from all rows and from all trusted ones. ``trusted`` has the keys of the trusted rows."""
+    raw, target = ngram_totals(docs, column), ngram_totals(trusted_rows(docs, trusted, key, column), column)
     if not target.sum():
         return np.zeros(BUCKETS)
     return np.log((target + SMOOTH) / (target.sum() + SMOOTH * BUCKETS)) - np.log((raw + SMOOTH) / (raw.sum() + SMOOTH * BUCKETS))
