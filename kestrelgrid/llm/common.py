@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import drop_path, materialise, new_path, shared_dir
+
 #: A word is a run of characters other than space and \x09-\x0D. ``bytes.split()`` splits on exactly these six.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows an Arrow batch holds at most, so that a batch of long texts stays within a Python worker's memory.
@@ -25,34 +25,6 @@ def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = f"file://{tempfile.gettempdir()}/kestrelgrid-shared"
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/kestrelgrid/{label}-{uuid.uuid4().hex}"
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a table that ``materialise`` wrote and that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def materialise(df: DataFrame, label: str) -> tuple[DataFrame, str]:
-    """Writes ``df`` to the shared folder and reads it back: the lineage is cut, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
 
@@ -66,3 +38,6 @@ def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
                 yield fn(batch.slice(at, BATCH_ROWS))
 
     return df.mapInArrow(run, schema)
+
+
+__all__ = ["BATCH_ROWS", "WORD", "bounded_batches", "drop_path", "materialise", "new_path", "per_batch", "shared_dir", "table", "text_or_empty"]

@@ -16,8 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import connected_components
 from .common import bounded_batches, materialise, per_batch, text_or_empty
-from .components import connected_components
 
 WIDTH, RADIUS, SEED, BITS = 4, 4, 42, 64
 #: Fingerprints of a bucket that are compared directly; a larger bucket is divided again by an exact rule.
