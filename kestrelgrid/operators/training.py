@@ -10,6 +10,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.names import safe_file_name
 from ..sources.scratch import materialise
@@ -52,7 +53,7 @@ def assign_folds(df: DataFrame, group: str, folds: int = 4) -> DataFrame:
         k = load.index(min(load))
         load[k] += r["count"]
         deal.append((r[group], k))
-    table = df.sparkSession.createDataFrame(deal, df.select(group).schema.add("fold", "int"))
+    table = df.sparkSession.createDataFrame(deal, T.StructType([df.schema[group], T.StructField("fold", T.IntegerType())]))
     return df.join(F.broadcast(table), group)  # a row a group: as few as there are spatial folds
 
 

@@ -1,6 +1,6 @@
 """Imports every query module, so that the registry is complete."""
 
-from . import occurrence, raster, spatial
+from . import ecosystem, occurrence, raster, spatial
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "occurrence", "raster", "spatial"]
+__all__ = ["ORACLES", "QUERIES", "ecosystem", "occurrence", "raster", "spatial"]
