@@ -51,9 +51,10 @@ def region(lat: Column, split: float = 10.5, north: str = "Andaman", south: str
 def decimal_places(value: Column) -> Column:
     """Digits after the point of a number's plain decimal text; exponent forms are written out first."""
     text = value.cast("string")
-    mantissa = F.regexp_extract(text, r"^-?(\d+)(?:\.(\d+))?(?:[eE](-?\d+))?$", 2)
-    exponent = F.coalesce(F.regexp_extract(text, r"[eE](-?\d+)$", 1).try_cast("int"), F.lit(0))
-    return F.when(text.isNull(), F.lit(None)).otherwise(F.greatest(F.lit(0), F.length(mantissa) - exponent))
+    exponent = F.regexp_extract(text, r"[eE](-?\d+)$", 1).try_cast("int")
+    places = F.regexp_extract(text, r"^-?\d+\.(\d+)", 1)
+    written_out = F.length(F.regexp_replace(places, "0+$", "")) - exponent  # 1.0E-4 has four places, not five
+    return F.when(text.isNull(), F.lit(None)).otherwise(F.greatest(F.lit(0), F.coalesce(written_out, F.length(places))))
 
 
 def in_box(lat: Column, lon: Column, box: tuple[float, float, float, float] = (6.0, 14.0, 92.0, 94.5)) -> Column:

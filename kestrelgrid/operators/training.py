@@ -62,6 +62,15 @@ def _gbt(t: Tier, early: bool, seed: int) -> GBTClassifier:
     return g.setValidationIndicatorCol("is_validation") if early else g
 
 
+def _fit(g: GBTClassifier, df: DataFrame):
+    """Boosting reads its rows once a tree level, so they are kept in executors for that time (and spill to disk)."""
+    kept = df.persist()
+    try:
+        return g.fit(kept)
+    finally:
+        kept.unpersist()
+
+
 def _margin(df: DataFrame) -> DataFrame:
     return df.withColumn("margin", vector_to_array("rawPrediction")[1])
 
@@ -72,12 +81,13 @@ def calibrated(train: DataFrame, key: str, t: Tier, seed: int, folds: int = 3, e
     margins = None
     for k in range(folds):
         rest = split(parts.where(F.col("__part") != k), "target", [key], seed=seed)
-        m = _margin(_gbt(t, early, seed).fit(rest).transform(parts.where(F.col("__part") == k))).select("target", "margin")
+        m = _margin(_fit(_gbt(t, early, seed), rest).transform(parts.where(F.col("__part") == k))).select("target", "margin")
         margins = m if margins is None else margins.unionByName(m)
+    margins, _ = materialise(margins, "margins")
     to_vector = VectorAssembler(inputCols=["margin"], outputCol="margin_v")
     curve = LogisticRegression(featuresCol="margin_v", labelCol="target", predictionCol="p2", rawPredictionCol="r2", probabilityCol="calibrated")
     platt = curve.fit(to_vector.transform(margins))
-    model = _gbt(t, early, seed).fit(split(train, "target", [key], seed=seed))
+    model = _fit(_gbt(t, early, seed), split(train, "target", [key], seed=seed))
     return PipelineModel([model, platt])
 
 
@@ -135,7 +145,7 @@ def train_all(rows: DataFrame, features: list[str], key: str, save_to: str | Non
 def importance(df: DataFrame, features: list[str], t: Tier, seed: int = 42) -> DataFrame:
     """(feature, importance, direction, rank) of trees on all rows; direction is a display convention by the feature's name."""
     rows = VectorAssembler(inputCols=features, outputCol="features").transform(df.dropna(subset=features))
-    model = _gbt(t, False, seed).fit(rows.withColumn("target", F.col("target").cast("double")))
+    model = _fit(_gbt(t, False, seed), rows.withColumn("target", F.col("target").cast("double")))
     values = [(f, float(v)) for f, v in zip(features, model.featureImportances.toArray(), strict=True)]
     ranked = sorted(values, key=lambda x: (-x[1], x[0]))
     out = df.sparkSession.createDataFrame([(f, v, k + 1) for k, (f, v) in enumerate(ranked)], "feature string, importance double, rank int")

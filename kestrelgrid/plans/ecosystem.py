@@ -10,7 +10,7 @@ from ..functions.pixels import failure_category, season
 from ..operators import audit, ecosystem, training
 from ..operators.occurrence import value_counts
 from ..sources.sinks import metrics
-from .mapping import CUBE, cube, read, round6, thresholds
+from .mapping import CUBE, cube, read, round9, thresholds
 from .registry import query
 
 _SYN = CUBE + """,
@@ -27,19 +27,19 @@ def _cells(spark: SparkSession, d: str) -> DataFrame:
     return ecosystem.synthesis(cube(spark, d), thresholds(spark, d))
 
 
-@query("eco_richness", f"WITH {_SYN} SELECT pixel_y, pixel_x, support, round(weighted_richness, 6) AS weighted_richness, binary_richness, round(mean_suit, 6) AS mean_suit, round(mean_unc, 6) AS mean_unc, round(mean_extrap, 6) AS mean_extrap FROM sy")
+@query("eco_richness", f"WITH {_SYN} SELECT pixel_y, pixel_x, support, round(weighted_richness, 9) AS weighted_richness, binary_richness, round(mean_suit, 9) AS mean_suit, round(mean_unc, 9) AS mean_unc, round(mean_extrap, 9) AS mean_extrap FROM sy")
 def eco_richness(spark: SparkSession, d: str) -> DataFrame:
-    return round6(_cells(spark, d).select("pixel_y", "pixel_x", "support", "weighted_richness", "binary_richness", "mean_suit", "mean_unc", "mean_extrap"))
+    return round9(_cells(spark, d).select("pixel_y", "pixel_x", "support", "weighted_richness", "binary_richness", "mean_suit", "mean_unc", "mean_extrap"))
 
 
-@query("eco_agreement", f"WITH {_SYN} SELECT pixel_y, pixel_x, round(agreement, 6) AS agreement FROM ag")
+@query("eco_agreement", f"WITH {_SYN} SELECT pixel_y, pixel_x, round(agreement, 9) AS agreement FROM ag")
 def eco_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return round6(_cells(spark, d).select("pixel_y", "pixel_x", "agreement"))
+    return round9(_cells(spark, d).select("pixel_y", "pixel_x", "agreement"))
 
 
-@query("eco_stability_priority", f"WITH {_SYN} SELECT pixel_y, pixel_x, round(stability, 6) AS stability, round(priority, 6) AS priority FROM pr")
+@query("eco_stability_priority", f"WITH {_SYN} SELECT pixel_y, pixel_x, round(stability, 9) AS stability, round(priority, 9) AS priority FROM pr")
 def eco_stability_priority(spark: SparkSession, d: str) -> DataFrame:
-    return round6(ecosystem.priority(ecosystem.stability(_cells(spark, d))).select("pixel_y", "pixel_x", "stability", "priority"))
+    return round9(ecosystem.priority(ecosystem.stability(_cells(spark, d))).select("pixel_y", "pixel_x", "stability", "priority"))
 
 
 @query("eco_hotspots", f"WITH {_SYN} SELECT pixel_y, pixel_x, (binary_richness >= a AND stability >= b AND mean_extrap <= c)::SMALLINT AS hotspot FROM sb, qs")
@@ -67,9 +67,9 @@ def _summary(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
 @query("triad_manifest", f"""WITH {_SUMMARY}, g AS (SELECT trim(species) AS species, auc_mean FROM su WHERE trim(governance) IN ('PASS', 'WARN')), t AS (SELECT species, avg(th) AS threshold FROM fd GROUP BY 1),
 w AS (SELECT species, max(valid_coverage) FILTER (layer = 'suitability') AS a, max(valid_coverage) FILTER (layer = 'uncertainty') AS b, max(valid_coverage) FILTER (layer = 'extrapolation') AS c, bool_or(width <> 20) AS off FROM ly GROUP BY 1),
 r AS (SELECT g.*, threshold, a, b, c, CASE WHEN threshold IS NULL THEN 'Missing optimal threshold' WHEN b IS NULL THEN 'Missing layer triad: uncertainty, extrapolation' WHEN off THEN 'Spatial mismatch: uncertainty' END AS reason FROM g LEFT JOIN t USING (species) LEFT JOIN w USING (species))
-SELECT species, species AS safe_name, round(threshold, 6) AS threshold, round(auc_mean, 6) AS auc, a AS suitability_coverage, b AS uncertainty_coverage, c AS extrapolation_coverage, reason IS NULL AS included, reason FROM r""")
+SELECT species, species AS safe_name, round(threshold, 9) AS threshold, round(auc_mean, 9) AS auc, a AS suitability_coverage, b AS uncertainty_coverage, c AS extrapolation_coverage, reason IS NULL AS included, reason FROM r""")
 def triad_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return round6(ecosystem.triad_manifest(*_summary(spark, d)))
+    return round9(ecosystem.triad_manifest(*_summary(spark, d)))
 
 
 @query("manifest_summary", f"""WITH {_SUMMARY}, g AS (SELECT trim(species) AS species, CAST(substr(trim(species), 2) AS INT) AS k FROM su WHERE trim(governance) IN ('PASS', 'WARN')),
@@ -83,11 +83,11 @@ def manifest_summary(spark: SparkSession, d: str) -> DataFrame:
 @query("model_audit", f"""WITH {_SUMMARY}, ok AS (SELECT trim(species) AS species, auc_mean FROM su WHERE trim(governance) = 'PASS'), due AS (SELECT species, k AS fold FROM ok, range(0, 4) r(k)),
 a AS (SELECT (SELECT count(*) FROM ok) AS pass_count, (SELECT avg(auc_mean) FROM ok) AS avg_auc, (SELECT count(*) FROM due WHERE (species, fold) NOT IN (SELECT species, fold FROM fd)) AS missing_folds),
 m AS (SELECT *, array_to_string(list_filter([CASE WHEN pass_count < 30 THEN 'FAIL few species' END, CASE WHEN avg_auc < 0.7 THEN 'FAIL low auc' END, CASE WHEN missing_folds > 0 THEN 'FAIL missing folds' END], lambda x: x IS NOT NULL), ' | ') AS messages FROM a)
-SELECT pass_count, round(avg_auc, 6) AS avg_auc, missing_folds, messages, CASE WHEN contains(messages, 'FAIL') THEN 'FAIL' ELSE 'PASS' END AS status FROM m""")
+SELECT pass_count, round(avg_auc, 9) AS avg_auc, missing_folds, messages, CASE WHEN contains(messages, 'FAIL') THEN 'FAIL' ELSE 'PASS' END AS status FROM m""")
 def model_audit(spark: SparkSession, d: str) -> DataFrame:
     su, fd, _ = _summary(spark, d)
     su = su.select(F.trim("species").alias("species"), F.trim("governance").alias("governance"), "auc_mean")
-    return round6(audit.model_audit(su, fd))
+    return round9(audit.model_audit(su, fd))
 
 
 @query("usable_ensembles", f"WITH {_SUMMARY} SELECT species, count(DISTINCT fold) AS folds, CASE WHEN count(DISTINCT fold) < 4 THEN 'incomplete ensemble' ELSE '' END AS note FROM fd GROUP BY 1 HAVING count(DISTINCT fold) >= 3")
@@ -97,16 +97,16 @@ def usable_ensembles(spark: SparkSession, d: str) -> DataFrame:
     return usable(_summary(spark, d)[1])
 
 
-@query("raster_audit", f"WITH {CUBE}, p AS (SELECT species, min(suit) AS lo, max(suit) AS hi, count(suit) * 100.0::DOUBLE / 600 AS coverage FROM cube GROUP BY 1) SELECT count(*) AS layers, 0::BIGINT AS non_finite, count(*) FILTER (lo < -0.01 OR hi > 1.01) AS bad_range, round(min(coverage), 6) AS min_coverage, CASE WHEN count(*) FILTER (lo < -0.01 OR hi > 1.01) > 0 OR min(coverage) < 3 THEN 'FAIL' ELSE 'PASS' END AS status FROM p")
+@query("raster_audit", f"WITH {CUBE}, p AS (SELECT species, min(suit) AS lo, max(suit) AS hi, count(suit) * 100.0::DOUBLE / 600 AS coverage FROM cube GROUP BY 1) SELECT count(*) AS layers, 0::BIGINT AS non_finite, count(*) FILTER (lo < -0.01 OR hi > 1.01) AS bad_range, round(min(coverage), 9) AS min_coverage, CASE WHEN count(*) FILTER (lo < -0.01 OR hi > 1.01) > 0 OR min(coverage) < 3 THEN 'FAIL' ELSE 'PASS' END AS status FROM p")
 def raster_audit(spark: SparkSession, d: str) -> DataFrame:
-    return round6(audit.raster_audit(cube(spark, d).select(F.col("species").alias("layer"), F.col("suit").alias("value")), 600))
+    return round9(audit.raster_audit(cube(spark, d).select(F.col("species").alias("layer"), F.col("suit").alias("value")), 600))
 
 
 @query("observation_audit", """WITH a AS (SELECT count(*) AS raw_obs_total, count(*) FILTER (l_quantity < 2 OR l_quantity > 49 OR l_discount > 0.095) AS coord_outliers FROM lineitem)
 SELECT *, 410.0::DOUBLE AS leakage_min_dist, CASE WHEN coord_outliers > 0 THEN 'FAIL' ELSE 'PASS' END AS status FROM a""")
 def observation_audit(spark: SparkSession, d: str) -> DataFrame:
     line = read(spark, d, "lineitem").select(F.col("l_quantity").alias("latitude"), F.col("l_discount").alias("longitude"))
-    return round6(audit.observation_audit(line, spark.createDataFrame([(0.41,)], "min_dist_km double"), (2.0, 49.0, 0.0, 0.095)))
+    return round9(audit.observation_audit(line, spark.createDataFrame([(0.41,)], "min_dist_km double"), (2.0, 49.0, 0.0, 0.095)))
 
 
 @query("duplicate_keys", "SELECT count(*) FILTER (n > 1) AS duplicate_keys FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_partkey, l_suppkey)")
@@ -126,9 +126,9 @@ def season_labels(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").select(season(F.month("l_shipdate")).alias("season")).groupBy("season").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("value_shares", "SELECT l_returnflag, count(*) AS count, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM lineitem GROUP BY 1")
+@query("value_shares", "SELECT l_returnflag, count(*) AS count, round(count(*) / sum(count(*)) OVER (), 9) AS share FROM lineitem GROUP BY 1")
 def value_shares(spark: SparkSession, d: str) -> DataFrame:
-    return round6(value_counts(read(spark, d, "lineitem"), "l_returnflag", normalised=True))
+    return round9(value_counts(read(spark, d, "lineitem"), "l_returnflag", normalised=True))
 
 
 @query("report_metrics", "WITH a AS (SELECT count(*)::VARCHAR AS n, count(DISTINCT o_custkey)::VARCHAR AS c FROM orders) SELECT 'orders' AS metric, n AS value FROM a UNION ALL SELECT 'observers', c FROM a")
@@ -156,20 +156,20 @@ def _training(spark: SparkSession, d: str) -> DataFrame:
 
 @query("gbt_spatial_cv")
 def gbt_spatial_cv(spark: SparkSession, d: str) -> DataFrame:
-    return round6(training.spatial_cv(_training(spark, d), FEATURES, "vec_id", t=training.Tier(2, 5, 0.1)))
+    return round9(training.spatial_cv(_training(spark, d), FEATURES, "vec_id", t=training.Tier(2, 5, 0.1)))
 
 
 @query("feature_importance")
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
-    return round6(training.importance(_training(spark, d), FEATURES, training.Tier(3, 10, 0.1)))
+    return round9(training.importance(_training(spark, d), FEATURES, training.Tier(3, 10, 0.1)))
 
 
 @query("governance_verdict", """WITH fm AS (SELECT 's' || (l_partkey % 6)::VARCHAR AS species, l_linenumber AS fold, avg(round(l_discount * 100)::INT) / 10.0::DOUBLE AS auc FROM lineitem GROUP BY ALL)
-SELECT species, round(avg(auc), 6) AS auc_mean, round(stddev_samp(auc), 6) AS auc_std, 0.4::DOUBLE AS null_auc_mean, CASE WHEN stddev_samp(auc) < 0.1 THEN 'PASS' ELSE 'WARN' END AS stability, CASE WHEN avg(auc) > 0.4::DOUBLE + 0.1::DOUBLE THEN 'PASS' ELSE 'FAIL' END AS governance FROM fm GROUP BY species""")
+SELECT species, round(avg(auc), 9) AS auc_mean, round(stddev_samp(auc), 9) AS auc_std, 0.4::DOUBLE AS null_auc_mean, CASE WHEN stddev_samp(auc) < 0.1 THEN 'PASS' ELSE 'WARN' END AS stability, CASE WHEN avg(auc) > 0.4::DOUBLE + 0.1::DOUBLE THEN 'PASS' ELSE 'FAIL' END AS governance FROM fm GROUP BY species""")
 def governance_verdict(spark: SparkSession, d: str) -> DataFrame:
     line = read(spark, d, "lineitem")
     fm = line.groupBy(F.concat(F.lit("s"), (F.col("l_partkey") % 6).cast("string")).alias("species"), F.col("l_linenumber").alias("fold")).agg((F.avg(F.round(F.col("l_discount") * 100).cast("int")) / 10.0).alias("auc"))
     fm = fm.withColumns({c: F.col("auc") for c in ("pr_auc", "tss", "brier")})
     null = fm.select("species").distinct().withColumn("null_auc_mean", F.lit(0.40))
     out = training.governance(fm, null)
-    return round6(out.select("species", "auc_mean", "auc_std", "null_auc_mean", "stability", "governance"))
+    return round9(out.select("species", "auc_mean", "auc_std", "null_auc_mean", "stability", "governance"))

@@ -79,7 +79,7 @@ def test_tiff_layers(spark, tmp_path, options, kind):
 
 def test_tiles_by_date(spark, tmp_path):
     for n in ("MOD.A2010001.h1.hdf", "MOD.A2010001.h2.hdf", "MOD.A2010017.h1.hdf"):
-        (tmp_path / n).write_bytes(b"")
+        (tmp_path / n).write_bytes(b"x")
     got = pixels.tiles_by_date(spark, str(tmp_path)).groupBy("date_str").count().collect()
     assert {r.date_str: r["count"] for r in got} == {"A2010001": 2, "A2010017": 1}
 
@@ -122,7 +122,7 @@ def test_folds_keep_groups_whole_and_even(spark):
 
 
 def test_spatial_cv_separates_an_easy_target_and_not_permuted_labels(spark):
-    df = spark.range(160).select("id", (F.col("id") % 2).cast("int").alias("target"), ((F.col("id") * 7) % 4).cast("string").alias("spatial_fold"), (F.col("id") % 2 + F.rand(1) * 0.2).alias("f0"))
+    df = spark.range(160).select("id", (F.col("id") % 2).cast("int").alias("target"), (F.floor(F.col("id") / 2) % 4).cast("string").alias("spatial_fold"), (F.col("id") % 2 + F.rand(1) * 0.2).alias("f0"))
     df = spark.createDataFrame(df.collect(), df.schema)
     one = training.spatial_cv(df.where("id < 160"), ["f0"], "id", t=training.Tier(2, 3, 0.3))
     assert one.agg(F.min("auc")).first()[0] > 0.95
