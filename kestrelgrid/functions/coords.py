@@ -41,7 +41,7 @@ def utm46(lon: Column, lat: Column) -> tuple[Column, Column]:
 
 def fold_by_latitude(lat: Column, cuts: tuple[float, float, float] = (13.0, 11.5, 10.0)) -> Column:
     """Four latitude bands, from north to south."""
-    return F.when(lat >= cuts[0], "North").when(lat >= cuts[1], "Middle").when(lat >= cuts[2], "South").otherwise("Nicobar")
+    return F.when(lat >= cuts[0], "North_Andaman").when(lat >= cuts[1], "Middle_Andaman").when(lat >= cuts[2], "South_Andaman").otherwise("Nicobar")
 
 
 def region(lat: Column, split: float = 10.5, north: str = "Andaman", south: str = "Nicobar") -> Column:

@@ -9,10 +9,13 @@ from ..functions.pixels import clip
 
 
 def ensemble(scores: DataFrame, keys: list[str], score: str = "score", least_folds: int = 1) -> DataFrame:
-    """Per cell: mean score in [0.001, 0.999], population deviation, coefficient of variation in [0, 5]; cells with too few folds go."""
+    """Per cell: mean score in [0.001, 0.999], population deviation in [0, 1], coefficient of variation in [0, 5]; cells with too few folds go.
+
+    The coefficient is 0 where the mean is at most 0.05.
+    """
     out = scores.groupBy(*keys).agg(F.avg(score).alias("__m"), F.stddev_pop(score).alias("__s"), F.count(score).alias("folds")).where(F.col("folds") >= least_folds)
     mean = clip(F.col("__m"), 0.001, 0.999)
-    return out.select(*keys, "folds", mean.alias("suitability"), clip(F.col("__s"), 0.0).alias("uncertainty_std"), clip(F.col("__s") / mean, 0.0, 5.0).alias("uncertainty_cv"))
+    return out.select(*keys, "folds", mean.alias("suitability"), clip(F.col("__s"), 0.0, 1.0).alias("uncertainty_std"), clip(F.when(mean > 0.05, clip(F.col("__s"), 0.0, 1.0) / mean).otherwise(F.lit(0.0)), 0.0, 5.0).alias("uncertainty_cv"))
 
 
 def extrapolation(grid: DataFrame, training: DataFrame, features: list[str]) -> DataFrame:

@@ -44,44 +44,44 @@ def radius_anti_join(left: DataFrame, right: DataFrame, radius: float) -> DataFr
     return left.join(hit, "id", "left_anti")
 
 
-def knn(left: DataFrame, right: DataFrame, k: int, start: float, others_only: bool = False) -> DataFrame:
-    """(left_id, right_id, distance, rank): the k nearest right points of each left one, ties to smaller ids; exact.
+def knn(left: DataFrame, right: DataFrame, k: int, start: float, others_only: bool = False, on: list[str] | None = None) -> DataFrame:
+    """(left_id, on, right_id, distance, rank): the k nearest right points of each left one, ties to smaller ids; exact.
 
-    A round joins the points still open with the buckets about them. What is found within the bucket's side
-    is sure to be nearest, so points with k such partners are done; the others go on with buckets twice as
-    large. Once the buckets cover all right points, all are done.
+    With ``on``, only right points with equal columns count, and (id, on) names a left row. A round joins the
+    points still open with the buckets about them. What is found within the bucket's side is sure to be
+    nearest, so points with k such partners are done; the others go on with buckets twice as large. Once the
+    buckets cover all right points, all are done.
     """
-    spark = left.sparkSession
+    spark, on = left.sparkSession, on or []
     span = right.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
-    result = "left_id long, right_id long, distance double, rank int"
-    if not span[4]:
-        return spark.createDataFrame([], result)
     ends = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if ends[0] is None:
-        return spark.createDataFrame([], result)
+    if not span[4] or ends[0] is None:
+        empty = left.limit(0).select(F.col("id").cast("long").alias("left_id"), *on)
+        return empty.withColumns({"right_id": F.lit(0).cast("long"), "distance": F.lit(0.0), "rank": F.lit(0)})
     extent = max(max(span[1], ends[1]) - min(span[0], ends[0]), max(span[3], ends[3]) - min(span[2], ends[2]))
-    open_, path = materialise(left.select("id", "x", "y"), "knn-open")
-    r, r_path = materialise(right.select(F.col("id").alias("right_id"), F.col("x").alias("__rx"), F.col("y").alias("__ry")), "knn-right")
+    open_, path = materialise(left.select("id", "x", "y", *on), "knn-open")
+    r, _ = materialise(right.select(F.col("id").alias("right_id"), F.col("x").alias("__rx"), F.col("y").alias("__ry"), *on), "knn-right")
     done: DataFrame | None = None
     size = float(start)
     while True:
         last = size > extent
         buckets = r.withColumns({"__cy": F.floor(F.col("__ry") / size), "__cx": F.floor(F.col("__rx") / size)})
-        pairs = _around(open_, size).join(buckets, ["__cy", "__cx"])
+        pairs = _around(open_, size).join(buckets, ["__cy", "__cx", *on])
         if others_only:
             pairs = pairs.where("id <> right_id")
         d = F.sqrt((F.col("x") - F.col("__rx")) ** 2 + (F.col("y") - F.col("__ry")) ** 2)
-        pairs = pairs.select(F.col("id").alias("left_id"), "right_id", d.alias("distance"))
+        pairs = pairs.select(F.col("id").alias("left_id"), *on, "right_id", d.alias("distance"))
         if not last:
             pairs = pairs.where(F.col("distance") <= size)
-        rank = F.row_number().over(W.partitionBy("left_id").orderBy("distance", "right_id"))
+        rank = F.row_number().over(W.partitionBy("left_id", *on).orderBy("distance", "right_id"))
         top = pairs.withColumn("rank", rank).where(F.col("rank") <= k)
-        found, _ = materialise(top.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("left_id"))), "knn-found")
+        found, _ = materialise(top.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("left_id", *on))), "knn-found")
         full = found if last else found.where(F.col("n") == k)
         done = full.drop("n") if done is None else done.unionByName(full.drop("n"))
         if last:
             break
-        rest, rest_path = materialise(open_.join(full.where("rank = 1").select(F.col("left_id").alias("id")), "id", "left_anti"), "knn-open")
+        closed = full.where("rank = 1").select(F.col("left_id").alias("id"), *on)
+        rest, rest_path = materialise(open_.join(closed, ["id", *on], "left_anti"), "knn-open")
         drop_path(spark, path)
         open_, path, size = rest, rest_path, size * 2
         if not open_.take(1):
@@ -93,28 +93,23 @@ def seam_trim(points: DataFrame, fold: str, radius: float, start: float | None =
     """Points of earlier folds near later ones, and what that does to the folds' distance.
 
     Gives (kept, report): a point goes if a point of a fold later in order is closer than ``radius``. The
-    report has the pair of folds, the least distance before and after trimming and the points dropped.
+    report has the pair of folds, the least distance before and after trimming and the points dropped. All
+    pairs of folds are searched together: a point stands once for each later fold.
     """
-    right = points.withColumnRenamed(fold, "right_fold")
-    r = right.select("id", "x", "y", "right_fold")
-    close = within(points, r.select("id", "x", "y"), radius).where("distance < " + repr(float(radius)))
-    close = close.join(r.select(F.col("id").alias("right_id"), "right_fold"), "right_id").where(F.col(fold) < F.col("right_fold"))
-    drop = close.select("id", F.col(fold).alias("f1"), F.col("right_fold").alias("f2")).distinct()
-    kept = points.join(drop.select("id").distinct(), "id", "left_anti")
-    folds = [x[0] for x in points.select(fold).distinct().orderBy(fold).collect()]
-    rows = []
-    for a in range(len(folds)):
-        for b in range(a + 1, len(folds)):
-            part = lambda df, f: df.where(F.col(fold) == f).select("id", "x", "y")
-            for when, df in (("before", points), ("after", kept)):
-                near = knn(part(df, folds[a]), part(df, folds[b]), 1, start or radius)
-                rows.append(near.agg(F.min("distance").alias("least")).select(F.lit(str(folds[a])).alias("fold_1"), F.lit(str(folds[b])).alias("fold_2"), F.lit(when).alias("stage"), "least"))
-    out = rows[0]
-    for x in rows[1:]:
-        out = out.unionAll(x)
-    report = out.groupBy("fold_1", "fold_2").agg(F.max(F.when(F.col("stage") == "before", F.col("least"))).alias("min_dist_before"), F.max(F.when(F.col("stage") == "after", F.col("least"))).alias("min_dist_after"))
-    dropped = drop.groupBy(F.col("f1").cast("string").alias("fold_1"), F.col("f2").cast("string").alias("fold_2")).agg(F.count(F.lit(1)).alias("dropped"))
-    return kept, report.join(dropped, ["fold_1", "fold_2"], "left").withColumn("dropped", F.coalesce("dropped", F.lit(0).cast("long")))
+    folds = points.select(F.col(fold).alias("right_fold")).distinct()  # a row a fold
+
+    def nearest(df: DataFrame) -> DataFrame:
+        left = df.join(F.broadcast(folds), F.col(fold) < F.col("right_fold")).select("id", "x", "y", "right_fold", F.col(fold).alias("left_fold"))
+        near = knn(left, df.select("id", "x", "y", F.col(fold).alias("right_fold")), 1, start or radius, on=["right_fold"])
+        return near.join(df.select(F.col("id").alias("left_id"), F.col(fold).alias("left_fold")), "left_id")
+
+    before, _ = materialise(nearest(points), "seam-before")
+    drop = before.where(F.col("distance") < radius)
+    kept = points.join(drop.select(F.col("left_id").alias("id")).distinct(), "id", "left_anti")
+    pair = [F.col("left_fold").cast("string").alias("fold_1"), F.col("right_fold").cast("string").alias("fold_2")]
+    was = before.groupBy(*pair).agg(F.min("distance").alias("min_dist_before"), F.count_if(F.col("distance") < radius).alias("dropped"))
+    now = nearest(kept).groupBy(*pair).agg(F.min("distance").alias("min_dist_after"))
+    return kept, was.join(now, ["fold_1", "fold_2"], "left").select("fold_1", "fold_2", "min_dist_before", "min_dist_after", "dropped")
 
 
 def pixel_lookup(points: DataFrame, layers: DataFrame, keys: list[str]) -> DataFrame:

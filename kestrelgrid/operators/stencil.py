@@ -100,11 +100,11 @@ def gaussian_blur(pixels: DataFrame, sigma: float, height: int, width: int) -> D
 
 
 def observer_kernel_density(points: DataFrame, land: DataFrame, height: int, width: int, resolution: float, bandwidth_km: float = 10.0, km_per_degree: float = 111.0) -> DataFrame:
-    """Observer effort on land: counts of (pixel_y, pixel_x) blurred at the bandwidth, masked to land, smoothed once more and masked again, scaled by the 99th percentile of positive cells and cut to [0, 1]."""
+    """Observer effort on land: counts of (pixel_y, pixel_x) blurred at the bandwidth, masked to land, smoothed once more and masked again, scaled by the 99th percentile of the land cells and cut to [0, 1] (left as it is if that is zero)."""
     counts = points.groupBy("pixel_y", "pixel_x").agg(F.count(F.lit(1)).cast("double").alias("value"))
     rough = gaussian_blur(counts, bandwidth_km / km_per_degree / resolution, height, width).join(land, ["pixel_y", "pixel_x"], "left_semi")
     fine = land.join(gaussian_blur(rough, 1.0, height, width), ["pixel_y", "pixel_x"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
-    top = fine.where("value > 0").agg(F.percentile("value", 0.99).alias("top"))
+    top = fine.agg(F.percentile("value", 0.99).alias("top"))
     return fine.crossJoin(F.broadcast(top)).select("pixel_y", "pixel_x", F.when(F.col("top") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value") / F.col("top")))).otherwise(F.col("value")).alias("value"))
 
 

@@ -130,18 +130,36 @@ def governance(folds: DataFrame, null_auc: DataFrame) -> DataFrame:
     return out.withColumns({"stability": F.when(F.col("auc_std") < 0.1, "PASS").otherwise("WARN"), "governance": F.when(F.col("auc_mean") > F.col("null_auc_mean") + 0.1, "PASS").otherwise("FAIL")})
 
 
-def train_all(rows: DataFrame, features: list[str], key: str, save_to: str | None = None) -> tuple[DataFrame | None, list[tuple[str, str]]]:
+def train_all(rows: DataFrame, features: list[str], key: str, save_to: str | None = None, choose=tier) -> tuple[DataFrame | None, list[tuple[str, str]]]:
     """Fold metrics of every eligible species, and (species, error) of those that failed; one failure doesn't stop the others."""
     out, failed = None, []
     for r in eligible_species(rows).orderBy("species_name").collect():
         try:
-            one = spatial_cv(species_rows(rows, r.species_name), features, key, t=tier(r.presences), save_to=save_to, species=r.species_name).withColumn("species", F.lit(r.species_name))
+            one = spatial_cv(species_rows(rows, r.species_name), features, key, t=choose(r.presences), save_to=save_to, species=r.species_name).withColumn("species", F.lit(r.species_name))
             out = one if out is None else out.unionByName(one)
         except Exception as e:  # noqa: BLE001  noted and left out
             failed.append((r.species_name, str(e)[:500]))
     return out, failed
 
 
+def ensemble_scores(spark, rows: DataFrame, features: list[str], folder: str, species: str, folds: int = 4, least: int = 3) -> DataFrame:
+    """(pixel_y, pixel_x, fold, score) of all saved fold models of a species; raises with fewer than ``least``."""
+    name = species.replace(" ", "_").replace("/", "_")
+    ready = VectorAssembler(inputCols=features, outputCol="features").transform(rows)
+    out, n = None, 0
+    for k in range(folds):
+        try:
+            model = PipelineModel.load(f"{folder}/{name}_fold{k}")
+        except Exception:  # noqa: BLE001, S112  a fold may be missing; too few are an error below
+            continue
+        n += 1
+        one = predict(model, ready).select("pixel_y", "pixel_x", F.lit(k).alias("fold"), "score")
+        out = one if out is None else out.unionByName(one)
+    if n < least:
+        raise ValueError(f"{species} has {n} fold models, fewer than {least}")
+    return out
+
+
 def importance(df: DataFrame, features: list[str], t: Tier, seed: int = 42) -> DataFrame:
     """(feature, importance, direction, rank) of trees on all rows; direction is a display convention by the feature's name."""
     rows = VectorAssembler(inputCols=features, outputCol="features").transform(df.dropna(subset=features))

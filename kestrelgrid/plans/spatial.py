@@ -36,7 +36,7 @@ def knn_join(spark: SparkSession, d: str) -> DataFrame:
     return round6(spatial.knn(left, right, 25, 2.0))
 
 
-_FOLD = POINTS + ", fo AS (SELECT id, x, y, CASE WHEN z >= 8 THEN 'North' WHEN z >= 0 THEN 'Middle' WHEN z >= -8 THEN 'South' ELSE 'Nicobar' END AS fold FROM pt)"
+_FOLD = POINTS + ", fo AS (SELECT id, x, y, CASE WHEN z >= 8 THEN 'North_Andaman' WHEN z >= 0 THEN 'Middle_Andaman' WHEN z >= -8 THEN 'South_Andaman' ELSE 'Nicobar' END AS fold FROM pt)"
 
 
 @query("seam_trim", f"""WITH {_FOLD}, p AS (SELECT a.id, a.fold AS fold_1, b.fold AS fold_2, min(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2)) AS d FROM fo a, fo b WHERE a.fold < b.fold GROUP BY ALL),
@@ -178,7 +178,7 @@ def ks_statistic(spark: SparkSession, d: str) -> DataFrame:
 
 def _cohen(c: str) -> str:
     s = lambda f, g: f"{f}({c}) FILTER (l_returnflag {g} 'R')"
-    pooled = f"sqrt(((count(*) FILTER (l_returnflag = 'R') - 1) * {s('var_samp', '=')} + (count(*) FILTER (l_returnflag <> 'R') - 1) * {s('var_samp', '<>')}) / (count(*) - 2))"
+    pooled = f"sqrt(({s('var_samp', '=')} + {s('var_samp', '<>')}) / 2)"
     return f"SELECT '{c}' AS feature, round(({s('avg', '=')} - {s('avg', '<>')}) / greatest({pooled}, 1e-8), 6) AS cohens_d FROM lineitem"
 
 
@@ -275,7 +275,7 @@ def label_permutation(spark: SparkSession, d: str) -> DataFrame:
 _ENS = "en AS (SELECT (l_suppkey % 20)::INT AS pixel_y, (l_partkey % 20)::INT AS pixel_x, l_linenumber AS fold, round(l_discount * 100)::INT / 10.0::DOUBLE AS score FROM lineitem)"
 
 
-@query("ensemble_stats", f"WITH {_ENS}, m AS (SELECT pixel_y, pixel_x, count(*) AS folds, avg(score) AS m, stddev_pop(score) AS s FROM en GROUP BY ALL HAVING count(*) >= 3) SELECT pixel_y, pixel_x, folds, round(least(greatest(m, 0.001), 0.999), 6) AS suitability, round(s, 6) AS uncertainty_std, round(least(s / least(greatest(m, 0.001), 0.999), 5), 6) AS uncertainty_cv FROM m")
+@query("ensemble_stats", f"WITH {_ENS}, m AS (SELECT pixel_y, pixel_x, count(*) AS folds, avg(score) AS m, stddev_pop(score) AS s FROM en GROUP BY ALL HAVING count(*) >= 3) SELECT pixel_y, pixel_x, folds, round(least(greatest(m, 0.001), 0.999), 6) AS suitability, round(s, 6) AS uncertainty_std, CASE WHEN m > 0.05 THEN round(least(s / least(greatest(m, 0.001), 0.999), 5), 6) ELSE 0 END AS uncertainty_cv FROM m")
 def ensemble_stats(spark: SparkSession, d: str) -> DataFrame:
     line = read(spark, d, "lineitem").select((F.col("l_suppkey") % 20).cast("int").alias("pixel_y"), (F.col("l_partkey") % 20).cast("int").alias("pixel_x"), (F.round(F.col("l_discount") * 100).cast("int") / 10.0).alias("score"))
     return round6(inference.ensemble(line, ["pixel_y", "pixel_x"], least_folds=3))
