@@ -82,8 +82,8 @@ def write_warc(pages: DataFrame, key: str = "page_id", uri: str = "url", body: s
 
     Of records with equal payloads of at least ``min_bytes`` bytes, those with the largest key are
     responses and the others revisits that refer to it. A null body is an empty payload, a null uri has no
-    WARC-Target-URI. A null key never is the largest unless all its group's are null (then all are
-    responses). Rows that repeat key and payload give records alike. An empty table gives no records.
+    WARC-Target-URI. A row with a null key is a revisit if its group has a key at all, else a response.
+    Rows that repeat key and payload give records alike. An empty table gives no records.
     """
     spark = pages.sparkSession
     payload = F.coalesce(F.col(body).cast("binary"), F.lit("").cast("binary"))
@@ -92,8 +92,8 @@ def write_warc(pages: DataFrame, key: str = "page_id", uri: str = "url", body: s
     meta, _ = materialise(payload_digests(rows.select("id", "tag", "payload"), chunk).distinct(), "digests")
     # only payloads that occur under several keys need a partner; the table of them is written first, so that
     # the join's sides are plain exchanges and a payload with very many copies is split over tasks
-    first = meta.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("id").alias("first"), F.min("id").alias("least"))
-    first, _ = materialise(first.where("first > least").select("payload_digest", "first"), "first")
+    first = meta.where(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.max("id").alias("first"), F.min("id").alias("least"), (F.count(F.lit(1)) > F.count("id")).alias("keyless"))
+    first, _ = materialise(first.where("first > least OR (keyless AND first IS NOT NULL)").select("payload_digest", "first"), "first")
     meta = meta.join(first, "payload_digest", "left")
     refers = F.when((F.col("payload_bytes") >= min_bytes) & (F.coalesce(F.col("id") < F.col("first"), F.col("first").isNotNull())), F.col("first"))
     meta = meta.select(F.col("tag"), F.coalesce(F.col("id").cast("string"), F.lit("")).alias("name"), "payload_bytes", "payload_digest", refers.alias("refers"))

@@ -25,8 +25,6 @@ def plain(rows, least=0):
         same = [p for p, _, h in rows if (h or "") == (html or "") and p is not None]
         first = max(same, default=None)
         revisit = len(body) >= least and first is not None and (page is None or page < first)
-        if page is None and len(set(same)) < 2:
-            revisit = False
         out.append((page, len(body), base64.b32encode(hashlib.sha1(body).digest()).decode(), "revisit" if revisit else "response", first if revisit else None))
     return sorted(out, key=str)
 
