@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import occurrence as occ
 from ..sources.occurrence import harmonise, union_sources
+from ..sources.scratch import materialise
 from .mapping import CLEAN, FILLED, NAMED, OCCURRENCES, PLACED, SCORE_LIMITS, SCORED, THINNED, YEARS, occurrences, read, round6
 from .registry import query
 
@@ -38,6 +39,15 @@ def _thinned(spark: SparkSession, d: str) -> DataFrame:
     return occ.thin(_migratory(spark, d), ["occurrence_id"])
 
 
+def _stages(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """single, named, migratory and thinned rows for reports that read several of them: written once, read as often as needed."""
+    single, _ = materialise(_single(spark, d), "single")
+    named = occ.clean_names(single)
+    migratory, _ = materialise(occ.keep_species(named, _scores(named)), "migratory")
+    thinned, _ = materialise(occ.thin(migratory, ["occurrence_id"]), "thinned")
+    return single, named, migratory, thinned
+
+
 @query("harmonize_union", """
 SELECT c_name AS name, c_acctbal AS account, c_nationkey AS nation, c_custkey AS customer_id, c_mktsegment AS segment, NULL::BIGINT AS s_suppkey, 'customer' AS source_file FROM customer
 UNION ALL SELECT s_name, s_acctbal, s_nationkey, NULL, NULL, s_suppkey, 'supplier' FROM supplier""")
@@ -137,7 +147,8 @@ WITH {THINNED}, cells AS (SELECT count(*) AS n FROM thinned GROUP BY latitude, l
 SELECT (SELECT count(*) FROM migratory) AS original_records, (SELECT count(DISTINCT species_name) FROM migratory) AS original_species, (SELECT count(*) FROM thinned) AS final_records,
        (SELECT count(DISTINCT species_name) FROM thinned) AS final_species, max(n) AS max_grid_density, round(avg(n), 6) AS mean_grid_density FROM cells""")
 def thinning_report(spark: SparkSession, d: str) -> DataFrame:
-    return round6(occ.thinning_report(_migratory(spark, d), _thinned(spark, d)))
+    _, _, migratory, thinned = _stages(spark, d)
+    return round6(occ.thinning_report(migratory, thinned))
 
 
 @query("grid_density", f"WITH {PLACED} SELECT latitude, longitude, count(*) AS density, count(DISTINCT species_name) AS richness FROM single GROUP BY ALL")
@@ -150,7 +161,8 @@ def attrition_track(spark: SparkSession, d: str) -> DataFrame:
     raw = occurrences(spark, d)
     timely = _dated(spark, d)
     placed = occ.spatial_filter(timely)
-    return occ.attrition([("1_Ingestion", raw), ("3_Temporal", timely), ("4_Spatial", placed), ("4.5_Duplicates", _single(spark, d)), ("5_Taxonomy", _named(spark, d)), ("6_Migratory", _migratory(spark, d)), ("7_Thinning", _thinned(spark, d))])
+    single, named, migratory, thinned = _stages(spark, d)
+    return occ.attrition([("1_Ingestion", raw), ("3_Temporal", timely), ("4_Spatial", placed), ("4.5_Duplicates", single), ("5_Taxonomy", named), ("6_Migratory", migratory), ("7_Thinning", thinned)])
 
 
 @query("validation_gate", f"""
@@ -159,7 +171,8 @@ WITH {THINNED}, n AS (SELECT (SELECT count(DISTINCT species_name) FROM thinned)
 m AS (SELECT list_filter([CASE WHEN kept < 90 THEN 'Species retention ' || printf('%.1f', kept) || '% < 90%' END, CASE WHEN densest > 3 THEN 'Max grid density ' || densest || ' > 3' END], lambda x: x IS NOT NULL) AS failed FROM n)
 SELECT CASE WHEN len(failed) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, CASE WHEN len(failed) > 0 THEN array_to_string(failed, ' | ') ELSE 'All thresholds passed' END AS message FROM m""")
 def validation_gate(spark: SparkSession, d: str) -> DataFrame:
-    return occ.validation_gate(_thinned(spark, d), _named(spark, d), years=YEARS, density=3)
+    _, named, _, thinned = _stages(spark, d)
+    return occ.validation_gate(thinned, named, years=YEARS, density=3)
 
 
 @query("region_year_coverage", f"""

@@ -50,7 +50,7 @@ def occurrence_workflow(spark: SparkSession, folder: str, out: str, formats: tup
     sinks.write_report(occ.attrition(steps), f"{out}/species_attrition_tracking")
     sinks.write_report(occ.region_year_coverage(thinned), f"{out}/ecological_coverage_report")
     gate = occ.validation_gate(thinned, migratory, box, years)
-    sinks.write_report(gate, f"{out}/phase1_validation_report")
+    sinks.write_report(gate, f"{out}/validation_report")
     occ.assert_gate(gate)
     sinks.write_table(thinned.drop("row_key"), f"{out}/presences")
     return thinned
