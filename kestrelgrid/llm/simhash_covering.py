@@ -20,7 +20,7 @@ from ..operators.components import connected_components
 from .common import bounded_batches, materialise, per_batch, text_or_empty
 
 WIDTH, RADIUS, SEED, BITS = 4, 4, 42, 64
-#: Fingerprints of a bucket that are compared directly; a larger bucket is divided again by an exact rule.
+#: Fingerprints of a bucket that one task holds and compares; a larger bucket is divided among tasks by an exact rule.
 DIRECT = 4_096
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -66,86 +66,113 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _forest(fps: np.ndarray, free: int, radius: int) -> list[tuple[int, int]]:
-    """Edges that join what links of at most ``radius`` bits join among distinct fingerprints of one bucket.
+def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
+    """Edges that join what links of at most ``radius`` bits join among distinct fingerprints.
 
-    ``free`` has the bits in which they may differ. A small bucket is searched from node to node, each
-    step comparing one fingerprint with all that no step has reached. A large one is divided: links lie
-    within a part that agrees on one of radius+1 blocks of the free bits, so all parts together have all links.
+    The search goes from node to node, each step comparing one fingerprint with all that no step has reached.
     """
-    if len(fps) <= DIRECT or free.bit_count() <= radius:
-        out, left = [], np.arange(len(fps))
-        stack: list[int] = []
-        while len(left):
-            if not stack:
-                stack, left = [int(left[0])], left[1:]
-            here = stack.pop()
-            near = np.bitwise_count(fps[left] ^ fps[here]) <= radius
-            found = left[near].tolist()
-            out += [(here, x) for x in found]
-            stack += found
-            left = left[~near]
-        return out
-    places = [i for i in range(BITS) if free >> i & 1]
-    out = []
-    for k in range(radius + 1):
-        block = sum(1 << i for i in places[k :: radius + 1])
-        part = fps & np.uint64(block)
-        order = np.argsort(part, kind="stable")
-        edges = np.flatnonzero(np.diff(part[order])) + 1
-        for run in np.split(order, edges):
-            if len(run) > 1:
-                out += [(int(run[a]), int(run[b])) for a, b in _forest(fps[run], free & ~block, radius)]
+    out, left = [], np.arange(len(fps))
+    stack: list[int] = []
+    while len(left):
+        if not stack:
+            stack, left = [int(left[0])], left[1:]
+        here = stack.pop()
+        near = np.bitwise_count(fps[left] ^ fps[here]) <= radius
+        found = left[near].tolist()
+        out += [(here, x) for x in found]
+        stack += found
+        left = left[~near]
     return out
 
 
-def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b) between representatives: together they connect all that links of at most ``radius`` bits connect.
+def _divided(free: int, radius: int) -> list[int]:
+    """What may still differ after each of radius + 1 blocks of the free bits is fixed; some block holds none of a link's bits."""
+    places = [i for i in range(BITS) if free >> i & 1]
+    return [free & ~sum(1 << i for i in places[k :: radius + 1]) for k in range(radius + 1)]
 
-    ``classes`` has distinct fingerprints: fp long, rep long. Buckets are read from sorted partitions, one
-    at a time; a bucket yields at most a spanning forest for each division, never all its pairs.
+
+def _search(rows: DataFrame, radius: int, direct: int) -> DataFrame:
+    """One round over buckets: rows (free, part, fp, rep) -> edges (a, b), and rows to divide again (free, fp, rep).
+
+    A bucket is what agrees outside ``free``. Sorted partitions bring buckets one after the other. At most
+    ``direct`` rows of a bucket are held: a larger one streams on to the next round, each row once for each
+    way to divide it, where more tasks share it. Once no more than ``radius`` bits are free, all of a bucket
+    is linked, and its rows are joined to its first as they come.
     """
-    masks = covering_masks(radius)
-    rows = classes.select("fp", "rep", F.posexplode(F.array(*[F.lit(_signed(m)) for m in masks])).alias("t", "mask"))
-    rows = rows.select(F.col("t").cast("byte").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("part"), "fp", "rep")
-    rows = rows.repartition("t", "part").sortWithinPartitions("t", "part", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+        key, held, over, head = None, [], None, None
+
+        def edges(a, b) -> pa.RecordBatch:
+            n = len(a)
+            none = pa.nulls(n, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), none, none, none], ["a", "b", "free", "fp", "rep"])
+
+        def on(fp: np.ndarray, rep: np.ndarray) -> Iterator[pa.RecordBatch]:
+            none = pa.nulls(len(fp), pa.int64())
+            for f in over:
+                yield pa.RecordBatch.from_arrays([none, none, pa.array(np.full(len(fp), _signed(f), np.int64)), pa.array(fp.view(np.int64)), pa.array(rep)], ["a", "b", "free", "fp", "rep"])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if over is None and held:
+                fp, rep = (np.concatenate(x) for x in zip(*held, strict=True))
+                pairs = _forest(fp, radius)
+                if pairs:
+                    yield edges([int(rep[x]) for x, _ in pairs], [int(rep[y]) for _, y in pairs])
+
         for batch in batches:
-            cols = tuple(batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
             if not batch.num_rows:
                 continue
-            change = np.flatnonzero((np.diff(cols[0]) != 0) | (np.diff(cols[1]) != 0)) + 1
-            if held and (held[-1][0][-1], held[-1][1][-1]) != (cols[0][0], cols[1][0]):
-                yield from emit(held)
-                held = []
-            if len(change):
-                held.append(tuple(c[: change[-1]] for c in cols))
-                yield from emit(held)
-                held = [tuple(c[change[-1] :] for c in cols)]
-            else:
-                held.append(cols)
-        yield from emit(held)
-
-    def emit(held) -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        t, part, fp, rep = (np.concatenate(x) for x in zip(*held, strict=True))
-        fp = fp.view(np.uint64)
-        edge = np.concatenate(([0], np.flatnonzero((np.diff(t) != 0) | (np.diff(part) != 0)) + 1, [len(t)]))
-        size = np.diff(edge)
-        two = edge[:-1][size == 2]
-        near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius
-        a, b = rep[two][near].tolist(), rep[two + 1][near].tolist()
-        for at, n in zip(edge[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            for x, y in _forest(fp[at : at + n], ~masks[int(t[at])] & (1 << BITS) - 1, radius):
-                a.append(int(rep[at + x]))
-                b.append(int(rep[at + y]))
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    return rows.mapInArrow(run, "a long, b long").distinct()
+            free, part, fp, rep = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            fp = fp.view(np.uint64)
+            edge = np.concatenate(([0], np.flatnonzero((np.diff(free) != 0) | (np.diff(part) != 0)) + 1, [len(free)]))
+            size = np.diff(edge)
+            inner = np.arange(len(size))
+            inner = (inner > 0) & (inner < len(size) - 1)  # the first and last may go on in other batches
+            two = edge[:-1][inner & (size == 2)]
+            near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius
+            if near.any():
+                yield edges(rep[two][near], rep[two + 1][near])
+            for i in np.flatnonzero(~inner | (size > 2)).tolist():
+                at, to = edge[i], edge[i + 1]
+                now = (int(free[at]), int(part[at]))
+                if now != key:
+                    yield from close()
+                    key, held, over, head = now, [], None, None
+                mine = now[0] & (1 << BITS) - 1
+                if mine.bit_count() <= radius:
+                    head = rep[at] if head is None else head
+                    yield edges(np.full(to - at, head), rep[at:to])
+                elif over is not None:
+                    yield from on(fp[at:to], rep[at:to])
+                else:
+                    held.append((fp[at:to], rep[at:to]))
+                    if sum(len(h[0]) for h in held) > direct:
+                        over = _divided(mine, radius)
+                        for h in held:
+                            yield from on(*h)
+                        held = []
+        yield from close()
+
+    rows = rows.select("free", "part", "fp", "rep").repartition("free", "part").sortWithinPartitions("free", "part", "fp")
+    return rows.mapInArrow(run, "a long, b long, free long, fp long, rep long")
+
+
+def links(classes: DataFrame, radius: int = RADIUS, direct: int = DIRECT) -> DataFrame:
+    """Edges (a, b) between representatives: together they connect all that links of at most ``radius`` bits connect.
+
+    ``classes`` has distinct fingerprints: fp long, rep long. A bucket yields at most a spanning forest, never
+    all its pairs. Rounds go on while there are buckets to divide; each fixes more bits, so they end.
+    """
+    free = F.explode(F.array(*[F.lit(_signed(~m & (1 << BITS) - 1)) for m in covering_masks(radius)]))
+    rows, out = classes.select(free.alias("free"), "fp", "rep"), None
+    while True:
+        found, _ = materialise(_search(rows.withColumn("part", F.col("fp").bitwiseAND(F.bitwise_not("free"))), radius, direct), "links")
+        edges = found.where("a <> b").select("a", "b")
+        out = edges if out is None else out.unionByName(edges)
+        rows = found.where("a IS NULL").select("free", "fp", "rep").distinct()
+        if not rows.take(1):
+            return out.distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text", width: int = WIDTH, radius: int = RADIUS, seed: int = SEED) -> DataFrame:

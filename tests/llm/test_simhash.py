@@ -2,7 +2,6 @@ import itertools
 import random
 import re
 
-import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -63,7 +62,7 @@ def test_query_equals_brute_force(spark):
     assert got == {d: (f"{fps[d]:016x}", want[d]) for d in texts}
 
 
-def test_chains_of_links_within_dense_groups(spark, monkeypatch):
+def test_chains_of_links_within_dense_groups(spark):
     """Fingerprints a few bits apart, found through divided buckets as well as direct ones."""
     rnd = random.Random(5)
     fps = {}
@@ -80,23 +79,12 @@ def test_chains_of_links_within_dense_groups(spark, monkeypatch):
     rows = spark.createDataFrame([(sh._signed(f), d) for f, d in first.items()], "fp long, rep long")
     from kestrelgrid.operators.components import connected_components
 
-    got = {r.node: r.component for r in connected_components(sh.links(rows)).collect()}
-    assert {d: got.get(first[f], first[f]) for d, f in fps.items()} == want
-    monkeypatch.setattr(sh, "DIRECT", 8)
-    a = np.array(list(first), np.uint64)
-    parts = sh._forest(a, (1 << 64) - 1, 4)
-    parent = list(range(len(a)))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for x, y in parts:
-        x, y = sorted((root(x), root(y)))
-        parent[y] = x
-    by = list(first.values())
-    assert {by[i]: by[root(i)] for i in range(len(a))} == {d: want[d] for d in by}
+    for direct in (4_096, 8, 1):
+        edges = sh.links(rows, direct=direct)
+        by = {d: f for f, d in first.items()}
+        assert all((by[r.a] ^ by[r.b]).bit_count() <= 4 for r in edges.collect())
+        got = {r.node: r.component for r in connected_components(edges).collect()}
+        assert {d: got.get(first[f], first[f]) for d, f in fps.items()} == want
 
 
 def test_hard_rows(spark):
