@@ -37,3 +37,8 @@ def safe_file_name(name: Column) -> Column:
 def reasons(items: list[Column]) -> Column:
     """Distinct non-null reasons, sorted, joined by a bar."""
     return F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.array(*items)))), "|")
+
+
+def impact_direction(label: Column) -> Column:
+    """-1 for labels that begin with Negative, else 1."""
+    return F.when(F.startswith(label, F.lit("Negative")), -1).otherwise(1)

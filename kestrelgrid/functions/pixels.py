@@ -86,3 +86,8 @@ def failure_category(message: Column, from_validation: Column) -> Column:
     """Category of a failed tile by its error text."""
     low = F.lower(message)
     return F.when(from_validation, "GIS_FAILURE").when(low.rlike("tiff|fillemptytiles"), "WARP_FAILURE").when(low.contains("memory"), "RESOURCE_FAILURE").otherwise("READ_FAILURE")
+
+
+def in_range(value: Column, low: float, high: float) -> Column:
+    """Whether a value is within its valid range; false if it is missing."""
+    return F.coalesce(value.between(low, high), F.lit(False))

@@ -168,3 +168,17 @@ def display_roc(spark, auc: float, points: int = 100) -> DataFrame:
     """A curve of the given area for display: y = x ^ ((1 - auc) / auc)."""
     x = F.col("id") / (points - 1)
     return spark.range(points).select(x.alias("fpr"), F.pow(x, (1 - auc) / auc).alias("tpr"))
+
+
+def row_ids(df: DataFrame, key: str, out: str = "original_row_id") -> DataFrame:
+    """Adds the row's place in the order of a unique key, from 0; counted within ranges, so no task sees all rows."""
+    places = prefix_sums(df.select(key, F.lit(1).alias("n")), key, ["n"])
+    return df.join(places.select(key, (F.col("n_upto") - 1).cast("long").alias(out)), key)
+
+
+def downcast(df: DataFrame) -> DataFrame:
+    """Doubles as floats and longs as ints where their range allows it (one pass finds that)."""
+    longs = [c for c, t in df.dtypes if t == "bigint"]
+    fits = df.agg(*[F.max(F.abs(c)).alias(c) for c in longs]).first() if longs else {}
+    small = {c for c in longs if fits[c] is None or fits[c] < 1 << 31}
+    return df.select(*[F.col(c).cast("float").alias(c) if t == "double" else F.col(c).cast("int").alias(c) if c in small else F.col(c) for c, t in df.dtypes])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.coords import utm46
-from ..operators import audit, background, extract, feature_grid, stack, stencil
+from ..operators import audit, background, extract, feature_grid, stack, stats, stencil
 from ..operators.occurrence import draw_order
 from .mapping import MOSAIC, NAMED, OCCURRENCES, PIXELS, mosaics, occurrences, read, round6, round9
 from .occurrence import _named
@@ -174,3 +174,13 @@ def random_order(spark: SparkSession, d: str) -> DataFrame:
 
     o = read(spark, d, "orders")
     return o.select("o_orderkey", F.row_number().over(W.partitionBy("o_orderstatus").orderBy(draw_order(["o_orderkey"]))).alias("place"))
+
+
+@query("row_ids", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS original_row_id FROM orders")
+def row_ids(spark: SparkSession, d: str) -> DataFrame:
+    return stats.row_ids(read(spark, d, "orders").select("o_orderkey"), "o_orderkey")
+
+
+@query("display_roc", "SELECT k / 99.0::DOUBLE AS fpr, round(pow(k / 99.0::DOUBLE, 0.25 / 0.75), 9) AS tpr FROM range(0, 100) r(k)")
+def display_roc(spark: SparkSession, d: str) -> DataFrame:
+    return stats.display_roc(spark, 0.75).select("fpr", F.round("tpr", 9).alias("tpr"))

@@ -98,3 +98,47 @@ def read_tiff_layers(spark: SparkSession, folder: str, suffix: str = ".tif") ->
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{suffix}").load(folder)
     return files.select("path", "content").mapInArrow(run, "layer string, pixel_y int, pixel_x int, value double")
+
+
+def pick_subdataset(found: list[tuple[str, str]], keyword: str) -> str | None:
+    """The first (name, description) whose description holds ``keyword``; none if no one does."""
+    return next((name for name, text in found if keyword.lower() in text.lower()), None)
+
+
+def encode_tiff(band: np.ndarray, geo: list[float] | None = None, nodata: float | None = -9999.0) -> bytes:
+    """A single-band deflate TIFF of 32-bit floats, a strip a row, with pixel scale, tie point and nodata; NaN is written as nodata."""
+    a = np.asarray(band, "<f4")
+    if nodata is not None:
+        a = np.where(np.isnan(a), np.float32(nodata), a)
+    h, w = a.shape
+    strips = [zlib.compress(row.tobytes()) for row in a]
+    starts = np.cumsum([8, *map(len, strips[:-1])]).tolist()
+    tags: dict[int, tuple[int, str, list]] = {256: (4, "I", [w]), 257: (4, "I", [h]), 258: (3, "H", [32]), 259: (3, "H", [8]), 262: (3, "H", [1]), 273: (4, "I", starts), 277: (3, "H", [1]), 278: (4, "I", [1]), 279: (4, "I", [len(s) for s in strips]), 339: (3, "H", [3])}
+    if geo:
+        tags |= {33550: (12, "d", [geo[1], -geo[5], 0.0]), 33922: (12, "d", [0.0, 0.0, 0.0, geo[0], geo[3], 0.0])}
+    if nodata is not None:
+        tags[42113] = (2, "B", list(f"{nodata:g}\0".encode()))
+    data = b"".join(strips)
+    extra_at, extra, entries = 8 + len(data), b"", b""
+    for tag, (kind, fmt, values) in sorted(tags.items()):
+        packed = struct.pack(f"<{len(values)}{fmt}", *values)
+        if len(packed) > 4:
+            entries += struct.pack("<HHII", tag, kind, len(values), extra_at + len(extra))
+            extra += packed
+        else:
+            entries += struct.pack("<HHI", tag, kind, len(values)) + packed.ljust(4, b"\0")
+    return b"II*\0" + struct.pack("<I", extra_at + len(extra)) + data + extra + struct.pack("<H", len(tags)) + entries + b"\0" * 4
+
+
+def tiff_layers(layers: DataFrame, height: int, width: int, geo: list[float] | None = None, nodata: float = -9999.0) -> DataFrame:
+    """(layer, content): each layer of (layer, pixel_y, pixel_x, value) as the bytes of a TIFF. A task holds one raster."""
+
+    def encode(pdf):
+        import pandas as pd
+
+        band = np.full((height, width), np.nan)
+        band[pdf.pixel_y.to_numpy(int), pdf.pixel_x.to_numpy(int)] = pdf.value.to_numpy(float)
+        return pd.DataFrame({"layer": [pdf.layer.iloc[0]], "content": [encode_tiff(band, geo, nodata)]})
+
+    inside = F.col("pixel_y").between(0, height - 1) & F.col("pixel_x").between(0, width - 1)
+    return layers.where(inside).select("layer", "pixel_y", "pixel_x", "value").groupBy("layer").applyInPandas(encode, "layer string, content binary")

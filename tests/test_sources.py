@@ -126,3 +126,25 @@ def test_spatial_cv_separates_an_easy_target_and_not_permuted_labels(spark):
     df = spark.createDataFrame(df.collect(), df.schema)
     one = training.spatial_cv(df.where("id < 160"), ["f0"], "id", t=training.Tier(2, 3, 0.3))
     assert one.agg(F.min("auc")).first()[0] > 0.95
+
+
+def test_tiff_written_and_read(spark, tmp_path):
+    layers = spark.createDataFrame([("a", 0, 0, 1.5), ("a", 1, 2, -2.25), ("b", 0, 1, 7.0), ("b", 9, 9, 1.0)], "layer string, pixel_y int, pixel_x int, value double")
+    for r in pixels.tiff_layers(layers, 2, 3, [92.0, 0.1, 0.0, 14.0, 0.0, -0.1]).collect():
+        (tmp_path / f"{r.layer}.tif").write_bytes(r.content)
+    got = {(r.layer, r.pixel_y, r.pixel_x, r.value) for r in pixels.read_tiff_layers(spark, str(tmp_path)).collect()}
+    assert got == {("a", 0, 0, 1.5), ("a", 1, 2, -2.25), ("b", 0, 1, 7.0)}
+
+
+def test_small_helpers(spark):
+    from kestrelgrid.functions.names import impact_direction
+    from kestrelgrid.functions.pixels import in_range
+    from kestrelgrid.operators.stats import downcast, row_ids
+
+    assert pixels.pick_subdataset([("x", "pixel reliability"), ("y", "16 days NDVI")], "ndvi") == "y"
+    assert pixels.pick_subdataset([("x", "other")], "ndvi") is None
+    df = spark.createDataFrame([(30, 1.5, "Negative x"), (10, None, "Positive"), (1 << 40, 9.0, None)], "k long, v double, s string")
+    assert {r.k: r.original_row_id for r in row_ids(df, "k").collect()} == {10: 0, 30: 1, 1 << 40: 2}
+    assert dict(downcast(df).dtypes) == {"k": "bigint", "v": "float", "s": "string"}
+    assert dict(downcast(df.where("k < 100")).dtypes)["k"] == "int"
+    assert [(r.a, r.b) for r in df.select(in_range(F.col("v"), 0, 5).alias("a"), impact_direction(F.col("s")).alias("b")).collect()] == [(True, -1), (False, 1), (False, 1)]
