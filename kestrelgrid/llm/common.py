@@ -14,15 +14,18 @@ from ..sources.scratch import drop_path, materialise, new_path, shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows an Arrow batch holds at most, so that a batch of long texts stays within a Python worker's memory.
 BATCH_ROWS = 512
+#: Bytes at which Spark ends an Arrow batch, whatever its rows; one longer text is a batch of its own.
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Arrow batches of at most ``rows`` rows from here on in this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH_ROWS rows and about BATCH_BYTES from here on in this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_or_empty(name: str = "text"):

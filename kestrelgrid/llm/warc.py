@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, materialise, new_path
 
-#: Bytes of a chunk. Arrow batches hold at most 64 chunks.
+#: Bytes of a chunk.
 CHUNK = 64 * 1024
 _CRLF, _HTTP = "\r\n", "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\n\r\n"
 #: Archives say when they were made only if the caller does; equal input then gives equal records.
@@ -45,7 +45,7 @@ def chunk_rows(rows: DataFrame, payload: str = "payload", chunk: int = CHUNK) ->
 
 def payload_digests(rows: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(id, tag, payload) -> (id, tag, payload_bytes, payload_digest), by a digest carried over a record's chunk rows."""
-    bounded_batches(rows.sparkSession, 64)
+    bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, size = hashlib.sha1(), 0
@@ -141,7 +141,7 @@ def read_warc(spark: SparkSession, path: str, boundary: str) -> DataFrame:
     running values are those that its headers give for the payload it refers to. Raises if segments are
     missing or out of order, or if a payload doesn't have the digest in its header.
     """
-    bounded_batches(spark, 64)
+    bounded_batches(spark)
     separator = f"{_CRLF}{_CRLF}WARC/1.1{_CRLF}WARC-Boundary: {boundary}{_CRLF}"
     begin, http = separator.lstrip(_CRLF).encode(), _HTTP.encode()
     schema = "key long, uri string, record_type string, refers_to long, chunk_no int, chunks int, chunk binary, running_bytes long, running_digest string"
