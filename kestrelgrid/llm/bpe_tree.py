@@ -1,7 +1,8 @@
 """BPE encoding by tree concatenation, and decoding.
 
-A text longer than a leaf is halved until the leaves are short. Leaves are encoded independently of
-each other (a batch's leaves share one cache of word ids). Going up the tree, each join is mended: a
+A text longer than a leaf is halved until the leaves are short. Leaves are encoded independently of each
+other: those of a very long text by the library's threads side by side, the others through one cache of
+word ids, as Spark's tasks are parallel already. Going up the tree, each join is mended: a
 window around it is encoded, and grows until its tokens agree with the left half's on its left side
 and with the right half's on its right side; what stands between is then the window's.
 """
@@ -19,6 +20,8 @@ from .word_bpe import Cached, WordBpe, load
 
 #: Characters of a leaf, first reach of a window to either side, and tokens in a row that must agree on each side.
 LEAF, WINDOW, AGREE = 8_192, 24, 2
+#: Leaves from which on a text's leaves go to the library's threads at once.
+SIDE_BY_SIDE = 64
 
 
 def _clear_cut(spans: list[tuple[int, int]], k: int) -> bool:
@@ -72,13 +75,17 @@ def join(bpe: WordBpe, text: str, left: list[int], right: list[int], lo: int, mi
         window *= 2
 
 
-def encode_tree(bpe: WordBpe, text: str, leaf_ids, leaf: int = LEAF) -> list[int]:
+def encode_tree(bpe: WordBpe, text: str, leaf_ids, leaf: int = LEAF, side_by_side: int = SIDE_BY_SIDE) -> list[int]:
     """Ids of a whole text. ``leaf_ids`` encodes a short text."""
     if len(text) <= leaf:
         return leaf_ids(text)
     parts = 1 << ((len(text) - 1) // leaf).bit_length()
     edges = [len(text) * k // parts for k in range(parts + 1)]
-    level = [leaf_ids(text[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    leaves = [text[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+    if parts >= side_by_side:
+        level = [e.ids for e in bpe.tokenizer.encode_batch_fast(leaves, add_special_tokens=False)]
+    else:
+        level = [leaf_ids(s) for s in leaves]
     while len(level) > 1:
         level = [join(bpe, text, level[k], level[k + 1], edges[k], edges[k + 1], edges[k + 2]) for k in range(0, len(level), 2)]
         edges = edges[::2]

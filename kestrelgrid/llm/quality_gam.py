@@ -158,7 +158,8 @@ def held_out(key: str = "doc_id"):
 def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "text", label: str = "quality", sample: int = SAMPLE) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most ``sample`` labelled rows that aren't held out, in an order that does not depend on partitions.
 
-    A key with several labels counts once, with the smallest. The chosen keys are at most ``sample``, so
+    A key with several labels counts once, with the smallest, and one with several texts with the least
+    features. The chosen keys are at most ``sample``, so
     their broadcast has a proven bound; the table of texts is not shuffled.
     """
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(key))
@@ -173,7 +174,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", colum
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(batch.schema.get_field_index("__y")), pa.array(vectors, pa.list_(pa.float64()))], ["k", "y", "x"])
 
     kind = kept.schema["__k"].dataType.simpleString()
-    got = per_batch(rows, run, f"k {kind}, y int, x array<double>").dropDuplicates(["k"]).toPandas().sort_values("k")
+    got = per_batch(rows, run, f"k {kind}, y int, x array<double>").groupBy("k", "y").agg(F.min("x").alias("x")).toPandas().sort_values("k")
     return (np.array(got.x.tolist(), dtype=float).reshape(-1, len(FEATURES)), got.y.to_numpy(dtype=float))
 
 

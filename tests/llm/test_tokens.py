@@ -67,6 +67,13 @@ def test_tree_of_unsplit_runs(leaf):
     for alphabet in ("ab", "thaniero", "é́a", "'ls", "<|endoftext|>", "日本x", "1½a", "a "):
         text = "".join(rnd.choice(alphabet) for _ in range(900))
         assert bpe_tree.encode_tree(CODEC.bpe, text, CODEC.leaf_ids, leaf) == ids(text)
+        assert bpe_tree.encode_tree(CODEC.bpe, text, CODEC.leaf_ids, leaf, side_by_side=2) == ids(text)
+
+
+def test_leaves_side_by_side_of_a_very_long_text():
+    text = "Thation onthe erst. " * 60_000
+    assert len(text) // bpe_tree.LEAF > bpe_tree.SIDE_BY_SIDE
+    assert CODEC.encode(text) == ids(text)
 
 
 @settings(max_examples=150, deadline=None)
