@@ -227,4 +227,5 @@ def value_counts(df: DataFrame, column: str, normalised: bool = False) -> DataFr
     out = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("count"))
     if not normalised:
         return out
-    return out.withColumn("share", F.col("count") / F.sum("count").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    total = out.agg(F.sum("count").alias("__all"))
+    return out.crossJoin(F.broadcast(total)).withColumn("share", F.col("count") / F.col("__all")).drop("__all")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import drop_path, materialise
+from .occurrence import value_counts
 from .spatial import knn, within
 from .stats import prefix_sums
 
@@ -37,11 +38,14 @@ def greedy_thin(points: DataFrame, radius: float, seed: int = 42) -> DataFrame:
     """
     spark = points.sparkSession
     ranked = points.select("id", "x", "y", F.struct(uniform(["id"], seed).alias("u"), F.col("id").alias("i")).alias("rank"))
+    # of points at one place only the first in order can stay, so a heap of equal points makes no pairs
+    ranked = ranked.groupBy("x", "y").agg(F.min("rank").alias("rank")).select(F.col("rank.i").alias("id"), "x", "y", "rank")
+    ranked, r_path = materialise(ranked, "thin-places")
     pairs = within(ranked, ranked.select("id", "x", "y"), radius).where("id <> right_id").select("id", F.col("right_id").alias("other"))
     ranks = ranked.select("id", "rank")
     edges = pairs.join(ranks, "id").join(ranks.select(F.col("id").alias("other"), F.col("rank").alias("other_rank")), "other").where("other_rank < rank").select("id", "other")
     edges, e_path = materialise(edges, "thin-edges")  # from each point to its neighbours that come before it
-    gone, kept = None, points.join(edges.select("id").distinct(), "id", "left_anti").select("id")
+    kept = ranked.join(edges.select("id").distinct(), "id", "left_anti").select("id")
     kept, k_path = materialise(kept, "thin-kept")
     while True:
         removed = edges.join(kept.select(F.col("id").alias("other")), "other", "left_semi").select("id").distinct()
@@ -59,6 +63,7 @@ def greedy_thin(points: DataFrame, radius: float, seed: int = 42) -> DataFrame:
             drop_path(spark, p)
         kept, k_path = after, a_path
     drop_path(spark, e_path)
+    drop_path(spark, r_path)
     return points.join(kept, "id", "left_semi")
 
 
@@ -101,5 +106,5 @@ def permute(df: DataFrame, label: str, key: str, seed: int) -> DataFrame:
 
 def season_alignment(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
     """Shares of each value in two tables, zero where one lacks it."""
-    share = lambda df, name: df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).withColumn(name, F.col("n") / F.sum("n").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).drop("n")
+    share = lambda df, name: value_counts(df, column, normalised=True).select(column, F.col("share").alias(name))
     return share(a, "presence_prop").join(share(b, "background_prop"), column, "full_outer").fillna(0.0, ["presence_prop", "background_prop"])

@@ -60,6 +60,9 @@ def knn(left: DataFrame, right: DataFrame, k: int, start: float, others_only: bo
         return empty.withColumns({"right_id": F.lit(0).cast("long"), "distance": F.lit(0.0), "rank": F.lit(0)})
     extent = max(max(span[1], ends[1]) - min(span[0], ends[0]), max(span[3], ends[3]) - min(span[2], ends[2]))
     open_, path = materialise(left.select("id", "x", "y", *on), "knn-open")
+    # of points at one place only the k (and perhaps the point itself) with the smallest ids can be among the nearest
+    here = F.row_number().over(W.partitionBy("x", "y", *on).orderBy("id"))
+    right = right.select("id", "x", "y", *on).withColumn("__n", here).where(F.col("__n") <= k + others_only)
     r, _ = materialise(right.select(F.col("id").alias("right_id"), F.col("x").alias("__rx"), F.col("y").alias("__ry"), *on), "knn-right")
     done: DataFrame | None = None
     size = float(start)

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .components import connected_components
+from .stats import prefix_sums
 
 
 def reflect(index: Column, size: int) -> Column:
@@ -166,5 +167,5 @@ def label_components(cells: DataFrame) -> DataFrame:
     edges = runs.join(below, ["pixel_y", "pixel_x"]).select(F.col("run").alias("a"), "b").distinct()
     found = connected_components(edges)
     named = runs.join(found.withColumnRenamed("node", "run"), "run", "left").withColumn("component", F.coalesce("component", "run"))
-    order = named.select("component").distinct().withColumn("label", F.row_number().over(W.orderBy("component")))
+    order = prefix_sums(named.select("component").distinct().withColumn("n", F.lit(1)), "component", ["n"]).select("component", F.col("n_upto").cast("int").alias("label"))
     return named.join(order, "component").select("pixel_y", "pixel_x", F.col("label").alias("component"))
