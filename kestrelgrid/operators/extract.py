@@ -46,9 +46,9 @@ def extract(points: DataFrame, layers: DataFrame, ranges: dict[str, tuple[float,
     names = list(ranges)
     full = layers.groupBy("year").agg(F.count_distinct("layer").alias("n")).where(F.col("n") == len(names)).select("year")
     if years is not None:
-        full = full.join(years.select("year").distinct(), "year", "left_semi")
+        full = full.join(years.select("year").distinct(), "year", "left_semi")  # a row a year
     wide = layers.groupBy("year", "pixel_y", "pixel_x").pivot("layer", names).agg(F.first("value", ignorenulls=True))
-    rows = points.join(full, "year", "left_semi").join(wide, ["year", "pixel_y", "pixel_x"], "left")
+    rows = points.join(F.broadcast(full), "year", "left_semi").join(wide, ["year", "pixel_y", "pixel_x"], "left")
     good = {n: F.col(n).between(*ranges[n]) for n in names}
     why: list[Column] = [F.when(~F.col("on_grid"), F.lit("OUT_OF_BOUNDS"))]
     for n in names:

@@ -126,6 +126,6 @@ def year_lookup(points: DataFrame, layers: DataFrame, features: list[str], least
     Layers are made wide by one aggregate on (year, pixel) and then joined once, not once a layer.
     """
     full = layers.groupBy("year").agg(F.count_distinct("layer").alias("n")).where(F.col("n") == layer_count).select("year")
-    wide = layers.join(full, "year", "left_semi").groupBy("year", "pixel_y", "pixel_x").pivot("layer", features).agg(F.first("value", ignorenulls=True))
+    wide = layers.join(F.broadcast(full), "year", "left_semi").groupBy("year", "pixel_y", "pixel_x").pivot("layer", features).agg(F.first("value", ignorenulls=True))
     valid = sum((F.col(f).isNotNull().cast("int") for f in features), F.lit(0))
     return points.join(wide, ["year", "pixel_y", "pixel_x"]).where(valid >= least_valid)

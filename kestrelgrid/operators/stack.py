@@ -35,7 +35,7 @@ def yearly_stack(series: DataFrame, expected: int = COMPOSITES, least_dates: int
         F.avg(v).alias("mean0"), F.stddev_pop(v).alias("std0"), F.min(v).alias("min0"), F.max(v).alias("max0"), F.count(v).alias("n0"),
         *[F.avg(of(x)).alias(f"{x}0") for x in ("monsoon", "dry", "winter")], *[F.stddev_pop(of(x)).alias(f"{x}_std0") for x in ("monsoon", "dry")],
     )
-    px = px.join(year_completeness(series, expected, least_dates).select("year", "weak_year_flag"), "year")
+    px = px.join(F.broadcast(year_completeness(series, expected, least_dates).select("year", "weak_year_flag")), "year")  # a row a year
     bad = F.coalesce(F.col("mean0") < 0, F.lit(True))
     count = F.when(~bad, F.col("n0"))
     hidden = F.coalesce(count < least_valid, F.lit(False)) | (F.col("weak_year_flag") == 1)
