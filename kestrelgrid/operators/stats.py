@@ -153,8 +153,10 @@ def tss_threshold(df: DataFrame, label: str, score: str, steps: int = 99) -> Dat
     reach, so the sweep runs over a histogram of at most steps + 1 rows.
     """
     y = F.col(label).cast("int") == 1
-    table = F.array(*[F.lit(k / (steps + 1)) for k in range(1, steps + 1)])
-    reach = F.size(F.filter(table, lambda t: t <= F.col(score)))
+    # thresholds up to the score: a guess by multiplication, set right by comparing with the thresholds beside it
+    guess, s = F.floor(F.col(score) * (steps + 1)), F.col(score)
+    exact = guess + ((guess + 1) / (steps + 1) <= s).cast("int") - (guess / (steps + 1) > s).cast("int")
+    reach = F.greatest(F.lit(0), F.least(F.lit(steps), exact)).cast("int")
     hist = df.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(reach.alias("reach")).agg(F.count_if(y).alias("p"), F.count_if(~y).alias("n"))
     grid = df.sparkSession.range(1, steps + 1).select(F.col("id").cast("int").alias("k"), (F.col("id") / (steps + 1)).alias("threshold"))
     both = grid.join(F.broadcast(hist), F.lit(True)).groupBy("k", "threshold").agg(
