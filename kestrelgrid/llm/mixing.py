@@ -17,7 +17,7 @@ from .common import WORD, materialise
 
 #: Weights by the source's rank, repeating; largest multiple of a source's words that a mix takes.
 WEIGHTS, MOST = (5, 2, 1), 3
-#: Documents of all sources that share a shard number; blocks for each source's shard, on average.
+#: Documents of a source's shard, and blocks for each shard, on average.
 SHARD_ROWS, SHARD_BLOCKS = 2_000, 1_000
 SEED = 42
 _DEC = "decimal(38,0)"
@@ -88,18 +88,20 @@ def mix(docs: DataFrame, key: str = "doc_id", column: str = "text", source: str
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
     rows = docs.select(F.col(key).alias("id"), named.alias("source"), word_count(column).alias("size"), draw.alias("draw"))
     rows, _ = materialise(rows, "sizes")
-    shards = rows.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / SHARD_ROWS)).cast("int").alias("n")).first().n
-    rows = rows.withColumn("shard", (F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") % shards).cast("int"))
+    # a source has shards by its own rows, so that a hot one has more of them and not larger ones; the table of
+    # their numbers is written first, so that adaptive execution can split the hot source's side of the join
+    shards, _ = materialise(rows.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("long").alias("shards")), "shards")
+    rows = rows.join(shards, "source").withColumn("shard", F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") % F.col("shards")).drop("shards")
     cells, _ = materialise(rows.groupBy("source", "shard").agg(F.sum("size").alias("cell_size")), "cells")
     targets, _ = materialise(source_targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, most), "targets")
-    whole = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("words"), F.count(F.lit(1)).alias("sources")).first()
-    block = max(1, whole.words // (SHARD_BLOCKS * shards * max(1, whole.sources)))
-    quotas = targets.withColumns({"seats": F.lit(whole.words // block).cast("long"), "room": F.floor(F.col("source_size") * most / block).cast("long")})
+    words = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first().n
+    block = max(1, words // (SHARD_BLOCKS * max(1, shards.agg(F.sum("shards").alias("n")).first().n or 0)))
+    quotas = targets.withColumns({"seats": F.lit(words // block).cast("long"), "room": F.floor(F.col("source_size") * most / block).cast("long")})
     quotas = apportion(quotas, [], "target", "seats", "room", "source", "source_blocks").select("source", "source_size", "target", "source_blocks")
     cells = cells.join(quotas, "source").withColumn("room", F.ceil(F.col("cell_size") * most / block).cast("long"))
     cells = apportion(cells, ["source"], "cell_size", "source_blocks", "room", "shard", "cell_blocks")
-    words = F.least(F.col("cell_blocks") * block, F.col("cell_size") * most).alias("cell_words")
-    cells, _ = materialise(cells.select("source", "shard", "cell_size", "source_size", "target", words), "quotas")
+    dealt = F.least(F.col("cell_blocks") * block, F.col("cell_size") * most).alias("cell_words")
+    cells, _ = materialise(cells.select("source", "shard", "cell_size", "source_size", "target", dealt), "quotas")
     so_far = W.partitionBy("source", "shard").orderBy("draw", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     out = rows.withColumn("before", F.sum("size").over(so_far) - F.col("size")).join(cells, ["source", "shard"])
     passes = F.floor(F.try_divide(F.col("cell_words"), F.col("cell_size")))

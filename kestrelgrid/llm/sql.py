@@ -7,8 +7,8 @@ WITH rows_ AS (
   SELECT doc_id, coalesce('a' || source, 'b') AS source,
          coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
          md5(concat_ws('|', '{SEED}', doc_id::VARCHAR)) AS draw FROM documents),
-dims AS (SELECT greatest(1, ceil(count(*) / {SHARD_ROWS}.0))::BIGINT AS shards FROM rows_),
-sharded AS (SELECT rows_.*, ('0x' || substr(draw, 1, 8))::BIGINT % shards AS shard FROM rows_, dims),
+dims AS (SELECT source, ceil(count(*) / {SHARD_ROWS}.0)::BIGINT AS shards FROM rows_ GROUP BY source),
+sharded AS (SELECT rows_.*, ('0x' || substr(draw, 1, 8))::BIGINT % shards AS shard FROM rows_ JOIN dims USING (source)),
 cells AS (SELECT source, shard, sum(size)::BIGINT AS cell_size FROM sharded GROUP BY ALL),
 sources AS (SELECT source, sum(cell_size)::BIGINT AS source_size FROM cells GROUP BY ALL),
 weighed AS (
@@ -23,8 +23,8 @@ targets AS (
   SELECT source, source_size, CASE WHEN is_stopped THEN stop::DOUBLE ELSE least(
          (all_words::DOUBLE - coalesce(sum(stop) FILTER (is_stopped) OVER (), 0)::DOUBLE) * weight
          / (sum(CASE WHEN is_stopped THEN 0 ELSE weight END) OVER ())::DOUBLE, stop::DOUBLE) END AS target FROM stopped),
-sizes AS (SELECT coalesce(sum(source_size), 0)::BIGINT AS words, count(*) AS sources FROM targets),
-blocks AS (SELECT words, greatest(1, words // ({SHARD_BLOCKS} * shards * greatest(1, sources)))::BIGINT AS block FROM sizes, dims),
+sizes AS (SELECT coalesce(sum(source_size), 0)::BIGINT AS words FROM targets),
+blocks AS (SELECT words, greatest(1, words // ({SHARD_BLOCKS} * greatest(1, (SELECT coalesce(sum(shards), 0) FROM dims))))::BIGINT AS block FROM sizes),
 q1 AS (SELECT t.*, words // block AS seats, floor(source_size * 3 / block)::BIGINT AS room, block,
               coalesce(target / nullif(sum(target::DECIMAL(38, 3)) OVER ()::DOUBLE, 0), 0) AS share, count(*) OVER () / 2.0::DOUBLE AS half FROM targets t, blocks),
 q2 AS (SELECT *, least(floor(share * greatest(0, seats - half) + 0.5)::BIGINT, room) AS sure, floor(share * (seats + half) + 0.5)::BIGINT + 1 AS top FROM q1),
