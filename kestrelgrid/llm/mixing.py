@@ -1,6 +1,7 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, in DataFrame operations only.
 
-All words are dealt as blocks of equal size. Sources get blocks by the highest quotients target/(2k+1);
+All words are dealt as blocks of equal size, small enough that the smallest source has many: the work of
+dealing doesn't grow with their number. Sources get blocks by the highest quotients target/(2k+1);
 a source's blocks are dealt to its shards (hash ranges of its documents) in the same way by the shards'
 words. A shard is read as one stream of words, its documents in a seeded order, as often as its quota
 needs: whole passes over the shard, then the leading blocks of one more. Words, targets and quotas are
@@ -19,6 +20,8 @@ from .common import WORD, materialise
 WEIGHTS, MOST = (5, 2, 1), 3
 #: Documents of a source's shard, and blocks for each shard, on average.
 SHARD_ROWS, SHARD_BLOCKS = 2_000, 1_000
+#: Blocks at least in the most that the smallest source may give; the rest of a block, below a thousandth of that, is all it can lose.
+SOURCE_BLOCKS = 1_000
 SEED = 42
 _DEC = "decimal(38,0)"
 
@@ -94,8 +97,9 @@ def mix(docs: DataFrame, key: str = "doc_id", column: str = "text", source: str
     rows = rows.join(shards, "source").withColumn("shard", F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") % F.col("shards")).drop("shards")
     cells, _ = materialise(rows.groupBy("source", "shard").agg(F.sum("size").alias("cell_size")), "cells")
     targets, _ = materialise(source_targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, most), "targets")
-    words = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("n")).first().n
-    block = max(1, words // (SHARD_BLOCKS * max(1, shards.agg(F.sum("shards").alias("n")).first().n or 0)))
+    words, least = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.min(F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0))).first()
+    block = words // (SHARD_BLOCKS * max(1, shards.agg(F.sum("shards").alias("n")).first().n or 0))
+    block = max(1, min(block, least * most // SOURCE_BLOCKS))
     quotas = targets.withColumns({"seats": F.lit(words // block).cast("long"), "room": F.floor(F.col("source_size") * most / block).cast("long")})
     quotas = apportion(quotas, [], "target", "seats", "room", "source", "source_blocks").select("source", "source_size", "target", "source_blocks")
     cells = cells.join(quotas, "source").withColumn("room", F.ceil(F.col("cell_size") * most / block).cast("long"))

@@ -58,6 +58,17 @@ def test_a_hot_source_among_shards(spark, monkeypatch):
     assert {r.doc_id: r.taken for r in again} == {r.doc_id: r.taken for r in got}
 
 
+def test_small_sources_beside_full_shards_get_their_targets(spark):
+    """A document of five words and a few short ones, beside shards of 2,000 rows whose blocks would be longer."""
+    rows = [(i, "w " * 40, f"big{i % 2}") for i in range(8_000)] + [(9_000, "a b c d e", "one")] + [(9_001 + i, "w " * 30, "short") for i in range(3)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    source = {i: s for i, _, s in rows}
+    for s in ("big0", "big1", "one", "short"):
+        mine = [r for r in got if source[r.doc_id] == s]
+        assert sum(r.taken for r in mine) == pytest.approx(mine[0].target, rel=0.001)
+    assert [r.taken for r in got if r.doc_id == 9_000] == [15]
+
+
 def test_hard_rows(spark):
     df = documents(spark)
     got = mixing.mix(df).collect()
