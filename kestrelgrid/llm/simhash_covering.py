@@ -194,7 +194,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text",
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their component, one for each key; all its columns."""
+    """The rows of ``docs`` that name their component, one for each key; all its columns.
+
+    A row with a null key names none and goes, as do all but one of the rows of a key; :func:`keep_one_row` does without keys.
+    """
     found = near_duplicates(docs, key, column).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept")).distinct()
     kept = docs.join(found, docs[key] == found["__kept"], "left_semi")
     return kept.dropDuplicates([key])
+
+
+def keep_one_row(docs: DataFrame, key: str = "doc_id", column: str = "text", width: int = WIDTH, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+    """Exactly one row of every group of fingerprints joined by links of at most ``radius`` bits; all columns of ``docs``.
+
+    A group is made by texts alone: rows with a null key are in it, and rows that share a key may be in different
+    ones. The row with the smallest key stays, null last; among rows of that key, the least digest of all columns.
+    """
+    bounded_batches(docs.sparkSession)
+    digest = F.md5(F.to_json(F.struct(*[docs[c] for c in docs.columns])).cast("binary"))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        fps = np.array([fingerprint(t, width, seed) for t in batch.column(2).to_pylist()], dtype=np.uint64).view(np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["digest", "key", "fp"])
+
+    own = per_batch(docs.select(digest.alias("digest"), F.col(key).cast("long").alias("key"), text_or_empty(column)), run, "digest string, key long, fp long")
+    first = F.min(F.struct(F.col("key").isNull().alias("no_key"), "key", "digest")).alias("first")
+    classes, _ = materialise(own.groupBy("fp").agg(first), "classes")
+    comps, _ = materialise(connected_components(links(classes.select("fp", F.col("fp").alias("rep")), radius)), "components")
+    groups = classes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").groupBy(F.coalesce("component", "fp").alias("group")).agg(F.min("first").alias("first"))
+    kept = docs.withColumn("__digest", digest).join(groups.select(F.col("first.digest").alias("__digest")), "__digest", "left_semi")
+    return kept.dropDuplicates(["__digest"]).select(*docs.columns)

@@ -105,6 +105,20 @@ def test_one_row_of_each_group_stays_with_all_columns(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 4, 5, 7]
 
 
+def test_the_pipeline_keeps_one_row_of_groups_with_null_and_repeated_keys(spark):
+    import corpus_pipeline
+
+    from .cases import DOCS, LONG
+
+    more = [(8, "one text of key eight", "s1"), (8, "quite another story told under this key", "s2"), (None, "No key here", "s1"), (None, "Another without a key", "s1")]
+    df = documents(spark, DOCS + more)
+    kept = corpus_pipeline.near_dedup(spark, df, "")
+    assert kept.columns == df.columns
+    got = sorted((r.text or "" for r in kept.collect()))
+    naive = DOCS[-1][1]
+    assert got == sorted(["", DOCS[0][1], LONG, "No key here", "Same text twice", naive, more[0][1], more[1][1], more[3][1]])
+
+
 @pytest.mark.parametrize("n", [1, 3, 4, 5, 70_000])
 def test_fingerprint_lengths(n):
     text = " ".join(f"W{i % 977}" for i in range(n))
