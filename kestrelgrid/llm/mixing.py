@@ -86,10 +86,20 @@ def mix(docs: DataFrame, key: str = "doc_id", column: str = "text", source: str
     the next order is by size it does not matter which of those still tied comes first. An empty table
     gives no rows.
     """
+    out = _dealt(docs, key, column, source, weights, most, seed)
+    return out.select(F.col("id").alias(key), "size", "source_size", "target", "taken")
+
+
+def _dealt(docs: DataFrame, key: str, column: str, source: str, weights: tuple[int, ...], most: int, seed: int, whole: bool = False) -> DataFrame:
+    """:func:`mix` with the key as id; with ``whole`` also doc, the row itself as a struct, so that nothing is joined back by key.
+
+    Then rows that tie in key and size come in the order of their texts' hash: one of them may be cut.
+    """
     # 'a' before a name and 'b' for null: plain equality joins, and null ranks last
     named = F.coalesce(F.concat(F.lit("a"), F.col(source).cast("string")), F.lit("b"))
     draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    rows = docs.select(F.col(key).alias("id"), named.alias("source"), word_count(column).alias("size"), draw.alias("draw"))
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.xxhash64(F.col(column)).alias("tie")] if whole else []
+    rows = docs.select(F.col(key).alias("id"), named.alias("source"), word_count(column).alias("size"), draw.alias("draw"), *row)
     rows, _ = materialise(rows, "sizes")
     # a source has shards by its own rows, so that a hot one has more of them and not larger ones; the table of
     # their numbers is written first, so that adaptive execution can split the hot source's side of the join
@@ -106,28 +116,28 @@ def mix(docs: DataFrame, key: str = "doc_id", column: str = "text", source: str
     cells = apportion(cells, ["source"], "cell_size", "source_blocks", "room", "shard", "cell_blocks")
     dealt = F.least(F.col("cell_blocks") * block, F.col("cell_size") * most).alias("cell_words")
     cells, _ = materialise(cells.select("source", "shard", "cell_size", "source_size", "target", dealt), "quotas")
-    so_far = W.partitionBy("source", "shard").orderBy("draw", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
+    so_far = W.partitionBy("source", "shard").orderBy("draw", "size", *["tie"] * whole).rowsBetween(W.unboundedPreceding, W.currentRow)
     out = rows.withColumn("before", F.sum("size").over(so_far) - F.col("size")).join(cells, ["source", "shard"])
     passes = F.floor(F.try_divide(F.col("cell_words"), F.col("cell_size")))
     rest = F.col("cell_words") - passes * F.col("cell_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("before")))
     taken = F.coalesce(passes * F.col("size") + part, F.lit(0)).cast("long")
-    return out.select(F.col("id").alias(key), "size", F.col("source_size").cast("long").alias("source_size"), "target", taken.alias("taken"))
+    return out.select("id", "size", F.col("source_size").cast("long").alias("source_size"), "target", taken.alias("taken"), *["doc"] * whole)
 
 
 def mixed_documents(docs: DataFrame, key: str = "doc_id", column: str = "text", source: str = "source", length: str = "n_chars", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The mix itself, with the columns of ``docs``: a row for each whole time a document is taken.
 
     The document at the edge of a shard's last block also gives a row cut at that edge (its leading words
-    with the white space between them; ``length`` then holds the cut text's). Keys are unique here, as
-    near-duplicate removal leaves them.
+    with the white space between them; ``length`` then holds the cut text's). Keys may be null or repeated:
+    each row is taken by its own count.
     """
-    taken = mix(docs, key, column, source, weights, most, seed).where("taken > 0").select(F.col(key).alias("__k"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    rows = docs.join(taken, docs[key] == taken["__k"])
+    dealt = _dealt(docs, key, column, source, weights, most, seed, whole=True).where("taken > 0")
+    rows = dealt.select("doc.*", F.col("size").alias("__size"), F.col("taken").alias("__taken"))
     whole = F.floor(F.col("__taken") / F.col("__size")).cast("int")
     cut = (F.col("__taken") - whole * F.col("__size")).cast("int")
     rows = rows.withColumn("__words", F.explode(F.concat(F.array_repeat(F.lit(0), whole), F.when(cut > 0, F.array(cut)).otherwise(F.array().cast("array<int>")))))
     lead = F.array_join(F.slice(F.regexp_extract_all(F.col(column), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.greatest(F.col("__words"), F.lit(1))), "")
     text = F.when(F.col("__words") > 0, lead).otherwise(F.col(column))
     made = {column: text} | ({length: F.when(F.col("__words") > 0, F.length(lead)).otherwise(F.col(length)).cast(docs.schema[length].dataType)} if length in docs.columns else {})
-    return rows.select(*[made[c].alias(c) if c in made else docs[c] for c in docs.columns])
+    return rows.select(*[made[c].alias(c) if c in made else F.col(c) for c in docs.columns])

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 
 from kestrelgrid.llm import mixing
@@ -93,6 +95,25 @@ def test_the_mixed_corpus_holds_the_words_taken(spark):
     assert got == want
 
 
+def test_the_mixed_corpus_with_null_and_repeated_keys(spark):
+    keys = [None] * 6 + [1] * 5 + list(range(2, 12))
+    rows = [(k, " ".join(f"w{i}_{j}" for j in range(i % 5 + 1)), f"s{i % 3}") for i, k in enumerate(keys)]
+    df = documents(spark, rows)
+    want = Counter()
+    for r in mixing.mix(df).collect():
+        want[r.doc_id] += r.taken
+    key = {t.split()[0]: (k, len(t.split())) for k, t, _ in rows}
+    got, words = Counter(), Counter()
+    for r in mixing.mixed_documents(df).collect():
+        first, n = r.text.split()[0], len(r.text.split())
+        assert r.doc_id == key[first][0]
+        got[r.doc_id] += n
+        words[first] += n
+    assert got == +want
+    assert want[None] and want[1]
+    assert all(n <= 3 * key[t][1] for t, n in words.items())
+
+
 def test_no_python_in_the_plan(spark):
     plan = mixing.mix(documents(spark))._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
