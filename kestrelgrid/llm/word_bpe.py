@@ -13,8 +13,11 @@ from tokenizers import Tokenizer
 
 #: Words kept in a worker's cache before it starts afresh.
 CACHE_WORDS = 400_000
-#: Characters outside which the fast pattern isn't used: controls, \x85, the dotted capital I and all beyond Latin and general punctuation.
-_OTHER = re.compile("[^\t-\r\x20-\x7e\xa0-įı-ɏ‐-‧‰-⁞€]")
+#: What the fast pattern covers: white space, printable Latin, general punctuation; no controls, no \x85, no dotted capital I.
+_COVERED = "\t-\r\x20-\x7e\xa0-\u012f\u0131-\u024f\u2010-\u2027\u2030-\u205e\u20ac"
+#: Capitals among them whose small letters lie beyond; texts that hold one are for the library as well.
+_STRAY = "".join(c for c in map(chr, range(0xA0, 0x250)) if re.match(f"[^{_COVERED}]", c.lower()))
+_OTHER = re.compile(f"[^{_COVERED}]|[{_STRAY}]")
 _LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
 #: The word pattern of the vocabulary file, with its classes spelt out for those characters.

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import unicodedata
 
 import pytest
 from hypothesis import given, settings
@@ -86,3 +87,19 @@ def test_tree_of_any_text(text, leaf):
 @given(st.text(alphabet=st.characters(max_codepoint=0x2100), max_size=60))
 def test_words_are_the_librarys(text):
     assert CODEC.leaf_ids(text) == ids(text)
+
+
+def test_every_assigned_code_point_is_split_as_the_library_does():
+    every = [chr(c) for c in range(0x110000) if c < 0x2100 or unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs")]
+    around = lambda c: (c, f":{c}", f"a{c}b", f"A{c}{c}'S")
+    alone = [t for c in every[:0x2100] for t in around(c)]
+    # beyond the fast pattern's characters the contexts of many stand in one text, parted by spaces
+    packed = [" ".join(t for c in every[at : at + 256] for t in around(c)) for at in range(0, len(every), 256)]
+    for text, found in zip(alone + packed, LIBRARY.encode_batch_fast(alone + packed, add_special_tokens=False), strict=True):
+        assert CODEC.leaf_ids(text) == found.ids
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(word_bpe._STRAY + "aÉ:1' "), max_size=30).map("".join))
+def test_capitals_whose_small_letters_are_beyond_the_fast_pattern(text):
+    assert CODEC.leaf_ids(text) == ids(text)
