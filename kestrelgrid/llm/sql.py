@@ -1,6 +1,7 @@
 """DuckDB SQL of the queries that SQL can express."""
 
 from .mixing import SEED, SHARD_BLOCKS, SHARD_ROWS
+from .url_rules import RULES
 
 OP10 = f"""
 WITH rows_ AS (
@@ -61,20 +62,25 @@ SELECT page_id, payload_bytes, {_B32.format(hex="hex")} AS payload_digest,
        CASE WHEN page_id < first THEN first END AS refers_to FROM m
 """
 
-OP7 = r"""
+def _fits(verdict: str) -> str:
+    """One expression for all pattern rules of a verdict."""
+    return "|".join(r.pattern for r in RULES if not r.site and r.verdict == verdict).replace("'", "''")
+
+
+OP7 = rf"""
 WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 r AS (SELECT page_id, regexp_extract(rest, '^[^?#]*') AS rest FROM u),
 h AS (SELECT page_id, regexp_extract(rest, '^[^/]*') AS raw, rest FROM r),
 s AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, substr(rest, length(raw) + 1) AS path FROM h),
-f AS (SELECT *, CASE
+f AS (SELECT *, translate(host || path, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, CASE
         WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN 'example.net/en/'
         WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN 'example.com/de/'
         WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN 'org/fr/'
         WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN 'net/' END AS rule FROM s)
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-    WHEN regexp_matches(host || path, '(^|[^a-z0-9])(adserver|banner|betting|casino|clickbait|doubleclick|gambling|porn|poker|tracker|viagra|xxx)([^a-z0-9]|$)', 'i') THEN 'block'
-    ELSE 'allow' END AS verdict FROM f
+    WHEN regexp_matches(low, '{_fits("allow")}') THEN 'allow'
+    WHEN regexp_matches(low, '{_fits("block")}') THEN 'block' ELSE 'allow' END AS verdict FROM f
 """
 
 OP4 = r"""

@@ -8,23 +8,26 @@ under them, and only those run. The index grows with the list of rules, which th
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from dataclasses import dataclass
+from itertools import product
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import per_batch
 
 TOKEN = "[a-z0-9]+"
 _TOKEN = re.compile(TOKEN)
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_UPPER, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LOWER = str.maketrans(_UPPER, _SMALL)
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``rank``: a fitting rule of the largest (rank, text) decides; ``site``: it is named in the result."""
+    """``rank``: a fitting rule of the largest (rank, text) decides; ``site``: it is named in the result, and sees the path as it is written."""
 
     text: str
     verdict: str
@@ -43,18 +46,55 @@ def site_rule(verdict: str, text: str) -> Rule:
     return Rule(text, verdict, rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape(slash + path)}", tuple(whole), len(text), True)
 
 
-def word_rule(verdict: str, word: str) -> Rule:
-    """Fits URLs in whose host or path ``word`` stands as a whole token; weaker than every site rule."""
-    return Rule(word, verdict, rf"(?i)(?:^|[^a-z0-9]){re.escape(word)}(?:[^a-z0-9]|$)", (word,), 0, False)
+def pattern_rule(verdict: str, text: str) -> Rule:
+    """A filter pattern over host and path, A-Z lower-cased: ``*`` is any run, ``^`` one character other than a-z and 0-9, or an end.
+
+    Weaker than every site rule; among patterns ``allow`` is stronger. A token counts if no ``*`` or open end
+    stands beside it, for there a token of the URL may go on.
+    """
+    low = text.translate(_LOWER)
+    parts = {"*": "(?s:.*)", "^": "(?:^|[^a-z0-9]|$)"}
+    pattern = "".join(parts.get(c) or re.escape(c) for c in low)
+    closed = lambda k: 0 <= k < len(low) and low[k] != "*"
+    whole = [m[0] for m in _TOKEN.finditer(low) if closed(m.start() - 1) and closed(m.end())]
+    return Rule(text, verdict, pattern, tuple(whole), -1 if verdict == "block" else 0, False)
 
 
-#: The site rules of the query, and the words by which the method judges URLs that none of them fits.
+#: The site rules of the query.
 SITE_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-BLOCK_WORDS = ("adserver", "banner", "betting", "casino", "clickbait", "doubleclick", "gambling", "porn", "poker", "tracker", "viagra", "xxx")
-RULES = tuple(site_rule(*r) for r in SITE_RULES) + tuple(word_rule("block", w) for w in BLOCK_WORDS)
+#: Words that stand alone in hosts and paths of unwanted pages, and words that do so in pairs.
+_ALONE = "adserver adserving adult-x adware affiliates blackjack camgirls casino casinos cialis clickbait doubleclick escorts gambling hentai jackpot keygen payday nulled phishing poker popunder porn porno ransomware roulette sportsbook spyware sweepstakes tramadol viagra warez webcams xxx".split()
+_OFFER, _GOODS = "best buy cheap discount free instant online win".split(), "bets betting bingo followers loans lottery meds pharmacy pills slots".split()
+_AD, _ADDING = "ad ads banner click pixel".split(), "network server sync track tracker tracking".split()
+_SPAM, _MILL = "content link seo spam".split(), "farm farms mill network wheel".split()
+_ADULT, _SHOWN = "adult nude sex".split(), "cam cams chat dating pics video videos".split()
+#: Folders that hold no pages for readers, and words beside which a topic is treated and not sold.
+_FOLDERS, _EARNEST = ("/ads/", "/adclick/", "/banners/", "/beacon/", "/popup/", "/sponsored/", "/track/click/"), (("gambling", "help"), ("gambling", "addiction"), ("poker", "history"), ("phishing", "awareness"))
+PATTERNS = (
+    *(("block", f"^{w}^") for w in _ALONE),
+    *(("block", f"^{a}^{b}^") for x, y in ((_OFFER, _GOODS), (_AD, _ADDING), (_SPAM, _MILL), (_ADULT, _SHOWN)) for a, b in product(x, y)),
+    *(("block", f) for f in _FOLDERS),
+    *(("allow", f"^{a}^{b}^") for a, b in _EARNEST),
+)
+RULES = tuple(site_rule(*r) for r in SITE_RULES) + tuple(pattern_rule(*r) for r in PATTERNS)
 DEFAULT = "allow"
 
 
+def read_rules(spark: SparkSession, path: str) -> tuple[Rule, ...]:
+    """Rules from text files: ``verdict kind text`` a line, kind ``site`` or ``pattern``; blank lines and those that begin with # say nothing.
+
+    A list of rules is small beside any table; the driver holds it whole.
+    """
+    made = {"site": site_rule, "pattern": pattern_rule}
+    out = []
+    for r in spark.read.text(path).where("trim(value) <> '' AND value NOT LIKE '#%'").collect():
+        verdict, kind, text = r.value.split(None, 2)
+        if verdict not in ("allow", "block") or kind not in made:
+            raise ValueError(f"not a rule: {r.value!r}")
+        out.append(made[kind](verdict, text.strip()))
+    return tuple(sorted(out, key=lambda r: (r.site, r.text, r.verdict)))
+
+
 def split_url(url: str | None) -> tuple[str, str]:
     """Host (A-Z lower-cased) and path; both empty without ``://``."""
     _, found, rest = (url or "").partition("://")
@@ -69,9 +109,9 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 def token_counts(urls: DataFrame, column: str, tokens: list[str]) -> dict[str, int]:
     """How many URLs hold each of ``tokens``, over the whole table; at most as many rows as ``tokens`` reach the driver."""
-    held = F.array_distinct(F.regexp_extract_all(F.lower(F.col(column)), F.lit(TOKEN), F.lit(0)))
-    wanted = F.array_intersect(held, F.array(*[F.lit(t) for t in tokens]))
-    return {r.token: r["count"] for r in urls.select(F.explode(wanted).alias("token")).groupBy("token").count().collect()}
+    held = F.array_distinct(F.regexp_extract_all(F.translate(F.col(column).cast("string"), _UPPER, _SMALL), F.lit(TOKEN), F.lit(0)))
+    found = urls.select(F.explode(held).alias("token")).where(F.col("token").isin(tokens))
+    return {r.token: r["count"] for r in found.groupBy("token").count().collect()}
 
 
 class Index:
@@ -85,23 +125,45 @@ class Index:
             else:
                 self.always.append(entry)
 
+    def fetch(self, subject: str) -> list:
+        """The rules that may fit a lower-cased host and path."""
+        return [e for t in set(_TOKEN.findall(subject)) for e in self.by_token.get(t, ())] + self.always
+
     def decide(self, host: str, path: str) -> Rule | None:
         """The rule that decides over a URL, if any fits."""
-        subject = host + path
-        found = [e for t in set(_TOKEN.findall(subject.translate(_LOWER))) for e in self.by_token.get(t, ())]
-        return max((r for p, r in [*found, *self.always] if p.search(subject)), key=lambda r: (r.rank, r.text), default=None)
+        subject, low = host + path, host + path.translate(_LOWER)
+        return max((r for p, r in self.fetch(low) if p.search(subject if r.site else low)), key=lambda r: (r.rank, r.text), default=None)
+
+
+#: The index of the run that this worker serves, by the run's tag.
+_INDEXES: dict[str, Index] = {}
+
+
+def _shared(pages: DataFrame, column: str, rules: tuple[Rule, ...]):
+    """A function that gives each worker the index over ``rules``, made once there."""
+    counts = token_counts(pages, column, sorted({t for r in rules for t in r.tokens})) if rules else {}
+    sent, tag = pages.sparkSession.sparkContext.broadcast((rules, counts)), uuid.uuid4().hex
+
+    def index() -> Index:
+        if tag not in _INDEXES:
+            _INDEXES.clear()
+            _INDEXES[tag] = Index(*sent.value)
+        return _INDEXES[tag]
+
+    return index
 
 
 def judge_urls(pages: DataFrame, key: str = "page_id", column: str = "url", rules: tuple[Rule, ...] = RULES, default: str = DEFAULT) -> DataFrame:
     """``key``, host, path, rule (the deciding site rule, else null) and verdict of every row.
 
-    A null URL, or one without ``://``, has an empty host and path, which no rule with a token fits. Null
-    and repeated keys keep their rows, other columns are ignored, an empty table gives no rows.
+    A null URL, or one without ``://``, has an empty host and path, which no rule with a token fits. URLs of
+    any length are judged whole; of rules that tie in rank the one with the largest text decides. Null and
+    repeated keys keep their rows, other columns are ignored, whatever their names; an empty table gives no rows.
     """
-    counts = token_counts(pages, column, sorted({t for r in rules for t in r.tokens})) if rules else {}
+    shared = _shared(pages, column, rules)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        index, out = Index(rules, counts), []
+        index, out = shared(), []
         for url in batch.column(1).to_pylist():
             host, path = split_url(url)
             r = index.decide(host, path)
@@ -111,3 +173,16 @@ def judge_urls(pages: DataFrame, key: str = "page_id", column: str = "url", rule
     kind = pages.schema[key].dataType.simpleString()
     rows = pages.select(pages[key].alias("key"), F.col(column).cast("string").alias("url"))
     return per_batch(rows, run, f"key {kind}, host string, path string, rule string, verdict string").withColumnRenamed("key", key)
+
+
+def rules_run(pages: DataFrame, column: str = "url", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """One row: urls, rules, and the mean and largest number of rules that ran for a URL."""
+    shared = _shared(pages, column, rules)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        index = shared()
+        n = [len(index.fetch(h + p.translate(_LOWER))) for h, p in map(split_url, batch.column(0).to_pylist())]
+        return pa.RecordBatch.from_arrays([pa.array(n, pa.int64())], ["n"])
+
+    found = per_batch(pages.select(F.col(column).cast("string").alias("url")), run, "n long")
+    return found.agg(F.count(F.lit(1)).alias("urls"), F.lit(len(rules)).alias("rules"), F.avg("n").alias("mean_run"), F.max("n").alias("most_run"))
