@@ -5,7 +5,8 @@ dealing doesn't grow with their number. Sources get blocks by the highest quotie
 a source's blocks are dealt to its shards (hash ranges of its documents) in the same way by the shards'
 words. A shard is read as one stream of words, its documents in a seeded order, as often as its quota
 needs: whole passes over the shard, then the leading blocks of one more. Words, targets and quotas are
-aggregates of a row for each source and shard; a window never holds more than one shard's documents.
+aggregates of a row for each source and shard. Orders over all sources, or over all shards of a source, are
+running sums within ranges, so no task holds all of them; a window holds one range or one shard's documents.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.stats import prefix_sums
 from .common import WORD, materialise
 
 #: Weights by the source's rank, repeating; largest multiple of a source's words that a mix takes.
@@ -37,45 +39,48 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     of stop / weight the stopped sources come first, so running sums give the level at which nothing is
     left to reshare. Comparisons are between exact integers.
     """
-    everything = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    rank = F.row_number().over(W.orderBy("source")) - 1
-    s = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int")))
-    s = s.withColumn("stop", (F.col("source_size") * most).cast(_DEC))
-    so_far = W.orderBy((F.col("stop") / F.col("weight")).asc(), "source").rowsBetween(W.unboundedPreceding, W.currentRow)
-    s = s.withColumns({"all_words": F.sum(F.col("source_size").cast(_DEC)).over(everything), "all_weight": F.sum("weight").over(everything)})
-    s = s.withColumns({"stopped_words": F.sum("stop").over(so_far) - F.col("stop"), "stopped_weight": F.sum("weight").over(so_far) - F.col("weight")})
-    left, open_weight = F.col("all_words") - F.col("stopped_words"), F.col("all_weight") - F.col("stopped_weight")
+    named = prefix_sums(sizes.withColumn("__one", F.lit(1)), "source", ["__one"])
+    weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("__one_upto") - 1) % len(weights) + 1).cast("int"))
+    s = named.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most).cast(_DEC).alias("stop"), F.col("source_size").cast(_DEC).alias("words"))
+    s = prefix_sums(s.withColumn("__order", F.struct((F.col("stop") / F.col("weight")).alias("level"), "source")), "__order", ["stop", "weight", "words"])
+    left = F.col("words_all") - (F.col("stop_upto") - F.col("stop"))
+    open_weight = F.col("weight_all") - (F.col("weight_upto") - F.col("weight"))
     # stopped if the level of the sources from this one on would carry it beyond its stop
     s = s.withColumn("is_stopped", left * F.col("weight") > F.col("stop") * open_weight)
-    stops = F.coalesce(F.sum(F.when(F.col("is_stopped"), F.col("stop"))).over(everything), F.lit(0)).cast("double")
-    free = F.sum(F.when(F.col("is_stopped"), F.lit(0)).otherwise(F.col("weight"))).over(everything)
-    shared = (F.col("all_words").cast("double") - stops) * F.col("weight") / free
+    free = s.agg(F.coalesce(F.sum(F.when(F.col("is_stopped"), F.col("stop"))), F.lit(0)).cast("double").alias("stops"), F.sum(F.when(~F.col("is_stopped"), F.col("weight"))).alias("free"))
+    s = s.crossJoin(F.broadcast(free))
+    shared = F.try_divide((F.col("words_all").cast("double") - F.col("stops")) * F.col("weight"), F.col("free"))
     target = F.when(F.col("is_stopped"), F.col("stop").cast("double")).otherwise(F.least(shared, F.col("stop").cast("double")))
     return s.select("source", "source_size", "weight", F.coalesce(target, F.lit(0.0)).alias("target"))
 
 
+def _with(rows: DataFrame, per_group: DataFrame, group: list[str]) -> DataFrame:
+    return rows.join(per_group, group) if group else rows.crossJoin(F.broadcast(per_group))
+
+
 def apportion(rows: DataFrame, group: list[str], votes: str, seats: str, limit: str, tie: str, name: str) -> DataFrame:
     """Adds ``name``: each row's share of its group's ``seats`` by Sainte-Lague on ``votes``, at most ``limit``.
 
     Seats go to the highest quotients votes/(2k+1). For n rows and S seats, a row with the share q of all
     votes gets at least floor(q (S - n/2) + 1/2) seats, since that many in each row never make more than S,
     and at most floor(q (S + n/2) + 1/2) + 1. Only the quotients between are ranked: about 3 n in a group,
-    whatever S is. Seats that limits leave over stay undealt.
+    whatever S is. Seats that limits leave over stay undealt. ``group`` and ``tie`` together name a row.
     """
-    by = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
-    share = F.coalesce(F.try_divide(F.col(votes).cast("double"), F.sum(F.col(votes).cast("decimal(38,3)")).over(by).cast("double")), F.lit(0.0))
-    rows = rows.withColumns({"__share": share, "__half": F.count(F.lit(1)).over(by) / 2})
+    kept = rows.columns
+    totals = rows.groupBy(*group).agg(F.sum(F.col(votes).cast("decimal(38,3)")).cast("double").alias("__votes"), (F.count(F.lit(1)) / 2).alias("__half"))
+    rows = _with(rows, totals, group).withColumn("__share", F.coalesce(F.try_divide(F.col(votes).cast("double"), F.col("__votes")), F.lit(0.0)))
     sure = F.floor(F.col("__share") * F.greatest(F.lit(0.0), F.col(seats) - F.col("__half")) + 0.5).cast("long")
-    rows = rows.withColumn("__sure", F.least(sure, F.col(limit)))
     top = F.floor(F.col("__share") * (F.col(seats) + F.col("__half")) + 0.5).cast("long") + 1
-    rows = rows.withColumn("__left", F.col(seats) - F.sum("__sure").over(by))
-    rows = rows.withColumn("__k", F.explode(F.sequence(F.col("__sure"), F.greatest(F.col("__sure"), top))))
-    quotient = F.when((F.col("__k") < F.col(limit)) & (F.col(votes) > 0), F.col(votes).cast("double") / (2 * F.col("__k") + 1))
-    rows = rows.withColumn("__quotient", quotient)
-    order = by.orderBy(F.col("__quotient").desc_nulls_last(), tie, "__k")
-    rows = rows.withColumn("__won", (F.col("__quotient").isNotNull() & (F.row_number().over(order) <= F.col("__left"))).cast("long"))
-    keys = [c for c in rows.columns if not c.startswith("__")]
-    return rows.groupBy(*keys).agg((F.first("__sure") + F.sum("__won")).alias(name))
+    rows, _ = materialise(rows.select(*kept, F.least(sure, F.col(limit)).alias("__sure"), top.alias("__top")), "sure")
+    some = rows.withColumn("__k", F.explode(F.sequence(F.col("__sure"), F.greatest("__sure", "__top")))).where((F.col("__k") < F.col(limit)) & (F.col(votes) > 0))
+    falling = F.struct(*group, (-F.col(votes).cast("double") / (2 * F.col("__k") + 1)).alias("falling"), tie, "__k")
+    ranked = prefix_sums(some.select(*group, tie, falling.alias("__order"), F.lit(1).alias("__one")), "__order", ["__one"])
+    # a group's quotients stand together, so a place in it is the place among all less those before the group
+    before = ranked.groupBy(*group).agg((F.min("__one_upto") - 1).alias("__before"))
+    left = rows.groupBy(*group).agg((F.first(seats) - F.sum("__sure")).alias("__left"))
+    won = _with(_with(ranked, before, group), left, group).where(F.col("__one_upto") - F.col("__before") <= F.col("__left"))
+    won = won.groupBy(*dict.fromkeys([*group, tie])).agg(F.count(F.lit(1)).alias("__won"))
+    return rows.join(won, list(dict.fromkeys([*group, tie])), "left").select(*kept, (F.col("__sure") + F.coalesce("__won", F.lit(0))).alias(name))
 
 
 def mix(docs: DataFrame, key: str = "doc_id", column: str = "text", source: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
