@@ -15,13 +15,14 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import bounded_batches, per_batch, text_or_empty
+from .common import per_batch, text_or_empty
 from .word_bpe import Cached, WordBpe, load
 
 #: Characters of a leaf, first reach of a window to either side, and tokens in a row that must agree on each side.
 LEAF, WINDOW, AGREE = 8_192, 24, 2
-#: Leaves from which on a text's leaves go to the library's threads at once.
-SIDE_BY_SIDE = 64
+#: Leaves from which on a text's leaves go to the library's threads at once. Threads shorten a long text's time where cores
+#: are free, but take about five times the CPU time of the cache; shorter texts are left to Spark's tasks.
+SIDE_BY_SIDE = 16
 
 
 def _clear_cut(spans: list[tuple[int, int]], k: int) -> bool:
@@ -128,9 +129,9 @@ def codec(path: str) -> Codec:
 def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", column: str = "text") -> DataFrame:
     """``key``, ids (array<int>) and decoded (string) of every row's whole text; a null text is empty and has no ids.
 
-    Null and repeated keys keep their rows, other columns are ignored, an empty table gives no rows.
+    Null and repeated keys keep their rows, very long texts are encoded whole, other columns are ignored, whatever
+    their names, an empty table gives no rows.
     """
-    bounded_batches(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(path)
@@ -144,9 +145,8 @@ def encode_documents(docs: DataFrame, path: str, key: str = "doc_id", column: st
 def encoding_digests(docs: DataFrame, path: str, key: str = "doc_id", column: str = "text") -> DataFrame:
     """``key``, n_tokens, ids_sha256 (ids in decimal, joined by a space) and decoded_sha256 (UTF-8), as of :func:`encode_documents`.
 
-    Digests are made where the ids are, so that ids and decoded texts don't leave the worker.
+    Digests are made where the ids are, so that ids and decoded texts don't leave the worker. Rows as there.
     """
-    bounded_batches(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = codec(path)

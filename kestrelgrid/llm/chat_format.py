@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, per_batch
+from .common import per_batch
 
 START, END, LOSS_ROLE = "<|im_start|>", "<|im_end|>", "assistant"
 _CONTROL = re.compile(re.escape(START) + "|" + re.escape(END))
@@ -93,7 +93,6 @@ def render_turns(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", rol
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.string())], ["conv_id", "turn", "rendered"])
 
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    bounded_batches(rows.sparkSession)
     return per_batch(rows.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), empty(role).alias("role"), empty(text).alias("text")), run, "conv_id long, turn long, rendered string")
 
 
@@ -125,7 +124,10 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
 def read_back(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256 and formatted_chars of every conversation, parsed from the formatted output.
 
-    Digests are carried from turn to turn within a sorted partition. An empty table gives no rows.
+    Digests are carried from turn to turn within a sorted partition: all turns of a conversation, and all rows
+    without a conversation id, go through one task, one turn at a time. Very long texts are whole cells there.
+    Null roles and texts are empty, repeated turns all count, other columns are ignored, whatever their names.
+    An empty table gives no rows.
     """
     turns = format_conversations(rows, conv, turn, role, text)
 

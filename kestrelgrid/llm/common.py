@@ -1,4 +1,4 @@
-"""What the training-data operators share: words, the shared folder, bounded Arrow batches."""
+"""What the training-data operators share: words, the shared folder, bounded batches."""
 
 from __future__ import annotations
 
@@ -12,22 +12,15 @@ from ..sources.scratch import drop_path, materialise, new_path, shared_dir
 
 #: A word is a run of characters other than space and \x09-\x0D. ``bytes.split()`` splits on exactly these six.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows an Arrow batch holds at most, so that a batch of long texts stays within a Python worker's memory.
+#: Rows that are turned into Python objects at once. Spark itself ends an Arrow batch at 64 MB (spark.sql.execution.arrow.maxBytesPerBatch),
+#: whatever its rows; one longer text is a batch of its own. The session's settings stay as they are.
 BATCH_ROWS = 512
-#: Bytes at which Spark ends an Arrow batch, whatever its rows; one longer text is a batch of its own.
-BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows and about BATCH_BYTES from here on in this session."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-
-
 def text_or_empty(name: str = "text"):
     return F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
 
@@ -43,4 +36,4 @@ def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
     return df.mapInArrow(run, schema)
 
 
-__all__ = ["BATCH_ROWS", "WORD", "bounded_batches", "drop_path", "materialise", "new_path", "per_batch", "shared_dir", "table", "text_or_empty"]
+__all__ = ["BATCH_ROWS", "WORD", "drop_path", "materialise", "new_path", "per_batch", "shared_dir", "table", "text_or_empty"]

@@ -71,7 +71,7 @@ def apportion(rows: DataFrame, group: list[str], votes: str, seats: str, limit:
     rows = _with(rows, totals, group).withColumn("__share", F.coalesce(F.try_divide(F.col(votes).cast("double"), F.col("__votes")), F.lit(0.0)))
     sure = F.floor(F.col("__share") * F.greatest(F.lit(0.0), F.col(seats) - F.col("__half")) + 0.5).cast("long")
     top = F.floor(F.col("__share") * (F.col(seats) + F.col("__half")) + 0.5).cast("long") + 1
-    rows, _ = materialise(rows.select(*kept, F.least(sure, F.col(limit)).alias("__sure"), top.alias("__top")), "sure")
+    rows = rows.select(*kept, F.least(sure, F.col(limit)).alias("__sure"), top.alias("__top"))
     some = rows.withColumn("__k", F.explode(F.sequence(F.col("__sure"), F.greatest("__sure", "__top")))).where((F.col("__k") < F.col(limit)) & (F.col(votes) > 0))
     falling = F.struct(*group, (-F.col(votes).cast("double") / (2 * F.col("__k") + 1)).alias("falling"), tie, "__k")
     ranked = prefix_sums(some.select(*group, tie, falling.alias("__order"), F.lit(1).alias("__one")), "__order", ["__one"])
@@ -88,8 +88,8 @@ def mix(docs: DataFrame, key: str = "doc_id", column: str = "text", source: str
 
     A null text has size 0 and gives nothing; a null source is a source of its own. The seeded order is a
     digest of the key, so that reruns agree whatever the partitions are; rows that repeat a key tie, and as
-    the next order is by size it does not matter which of those still tied comes first. An empty table
-    gives no rows.
+    the next order is by size it does not matter which of those still tied comes first. Texts of any length
+    are counted whole; other columns are ignored, whatever their names. An empty table gives no rows.
     """
     out = _dealt(docs, key, column, source, weights, most, seed)
     return out.select(F.col("id").alias(key), "size", "source_size", "target", "taken")
@@ -111,12 +111,13 @@ def _dealt(docs: DataFrame, key: str, column: str, source: str, weights: tuple[i
     shards, _ = materialise(rows.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("long").alias("shards")), "shards")
     rows = rows.join(shards, "source").withColumn("shard", F.conv(F.substring("draw", 1, 8), 16, 10).cast("long") % F.col("shards")).drop("shards")
     cells, _ = materialise(rows.groupBy("source", "shard").agg(F.sum("size").alias("cell_size")), "cells")
-    targets, _ = materialise(source_targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, most), "targets")
+    targets = source_targets(cells.groupBy("source").agg(F.sum("cell_size").alias("source_size")), weights, most)
     words, least = targets.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.min(F.when(F.col("source_size") > 0, F.col("source_size"))), F.lit(0))).first()
     block = words // (SHARD_BLOCKS * max(1, shards.agg(F.sum("shards").alias("n")).first().n or 0))
     block = max(1, min(block, least * most // SOURCE_BLOCKS))
     quotas = targets.withColumns({"seats": F.lit(words // block).cast("long"), "room": F.floor(F.col("source_size") * most / block).cast("long")})
-    quotas = apportion(quotas, [], "target", "seats", "room", "source", "source_blocks").select("source", "source_size", "target", "source_blocks")
+    quotas = apportion(quotas, [], "target", "seats", "room", "source", "source_blocks")
+    quotas, _ = materialise(quotas.select("source", "source_size", "target", "source_blocks"), "source-quotas")
     cells = cells.join(quotas, "source").withColumn("room", F.ceil(F.col("cell_size") * most / block).cast("long"))
     cells = apportion(cells, ["source"], "cell_size", "source_blocks", "room", "shard", "cell_blocks")
     dealt = F.least(F.col("cell_blocks") * block, F.col("cell_size") * most).alias("cell_words")
@@ -135,7 +136,8 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", column: str = "text",
 
     The document at the edge of a shard's last block also gives a row cut at that edge (its leading words
     with the white space between them; ``length`` then holds the cut text's). Keys may be null or repeated:
-    each row is taken by its own count.
+    each row is taken by its own count. Rows without words give nothing; very long texts and columns of any
+    name but those that begin with ``__`` are allowed; an empty table gives no rows.
     """
     dealt = _dealt(docs, key, column, source, weights, most, seed, whole=True).where("taken > 0")
     rows = dealt.select("doc.*", F.col("size").alias("__size"), F.col("taken").alias("__taken"))

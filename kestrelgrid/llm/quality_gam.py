@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, per_batch, text_or_empty
+from .common import per_batch, text_or_empty
 from .quality_llr import base_counts
 
 #: Labelled rows the model is fitted on at most.
@@ -181,11 +181,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str = "doc_id", colum
 def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "text", label: str = "quality", cutoff: float = CUTOFF, sample: int = SAMPLE) -> DataFrame:
     """``key``, held_out, score (0 to 1) and predicted (1 if score >= ``cutoff``) of every row's whole text.
 
-    Scores depend on the text alone; a null text is empty. Without usable labels every score is 0.5. Null
-    and repeated keys keep their rows, other columns are ignored, an empty table gives no rows.
+    Scores depend on the text alone, so rows with equal texts tie; a null text is empty, a text of any length
+    is scored whole. Without usable labels every score is 0.5. Null and repeated keys keep their rows, other
+    columns are ignored, whatever their names, an empty table gives no rows.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
     model = spark.sparkContext.broadcast(fit(*training_rows(docs, labels, key, column, label, sample)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -199,8 +199,11 @@ def score_documents(docs: DataFrame, labels: DataFrame, key: str = "doc_id", col
 
 
 def keep_predicted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", column: str = "text", label: str = "quality", cutoff: float = CUTOFF, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that :func:`score_documents` predicts to be 1, with all their columns."""
-    bounded_batches(docs.sparkSession)
+    """The rows of ``docs`` that :func:`score_documents` predicts to be 1, with all their columns and under all their names.
+
+    Each row is judged by its text alone: null and repeated keys and nulls in other columns stay as they
+    are, null texts count as empty, very long ones are scored whole; an empty table gives no rows.
+    """
     model = docs.sparkSession.sparkContext.broadcast(fit(*training_rows(docs, labels, key, column, label, sample)))
     place = docs.columns.index(column)
 

@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, per_batch, text_or_empty
+from .common import per_batch, text_or_empty
 
 #: Bytes of an n-gram, buckets of the hash (16 bits), weight of the smoothing in n-grams for each bucket.
 N, BUCKETS, SMOOTH = 3, 1 << 16, 1.0
-#: Buckets of a packed block.
-BLOCK = 1024
+#: Buckets of a packed block, and tasks that share the first round of a block's sums.
+BLOCK, SHARERS = 1024, 32
 #: Bits of the sieve that spares most texts the join with the trusted keys.
 SIEVE = 1 << 24
 #: Texts score at least this to be kept.
@@ -71,8 +71,9 @@ def base_failed(n_words: int, n_repeat: int) -> bool:
 def ngram_totals(rows: DataFrame, column: str = "text") -> np.ndarray:
     """N-grams of all rows by bucket.
 
-    A task sends its counts as BUCKETS / BLOCK packed blocks. Blocks with the same number meet in one task,
-    which adds them up as they stream in; the driver gets at most BUCKETS sums.
+    A task sends its counts as BUCKETS / BLOCK packed blocks. Blocks with the same number are added up as they
+    stream in, first by SHARERS tasks, each for its share of the map tasks, then by one; the driver gets at
+    most BUCKETS sums.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,9 +98,9 @@ def ngram_totals(rows: DataFrame, column: str = "text") -> np.ndarray:
                 sums[k] = sums.get(k, 0) + np.frombuffer(counts, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "counts"])
 
-    bounded_batches(rows.sparkSession)
     parts = rows.select(text_or_empty(column)).mapInArrow(count, "block int, counts binary")
     out = np.zeros((BUCKETS // BLOCK, BLOCK))
+    parts = parts.withColumn("sharer", F.spark_partition_id() % SHARERS).repartition("block", "sharer").select("block", "counts").mapInArrow(add, "block int, counts binary")
     for r in parts.repartition("block").mapInArrow(add, "block int, counts binary").collect():
         out[r.block] = np.frombuffer(r.counts, np.int64)
     return out.ravel()
@@ -111,7 +112,6 @@ def _slot(key: str):
 
 def trusted_rows(docs: DataFrame, trusted: DataFrame, key: str, column: str) -> DataFrame:
     """The texts of the rows whose key is in ``trusted``: the sieve lets few others reach the join, which then is exact."""
-    bounded_batches(docs.sparkSession)
     keys = trusted.select(F.col(key).cast(docs.schema[key].dataType).alias("__k")).where("__k IS NOT NULL").distinct()
     slots = keys.select(_slot("__k").alias("slot"))
     words = slots.groupBy(F.floor(F.col("slot") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(slot % 64 AS INT))")).alias("bits")).toPandas()
@@ -129,7 +129,11 @@ def trusted_rows(docs: DataFrame, trusted: DataFrame, key: str, column: str) ->
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", column: str = "text") -> np.ndarray:
-    """log p_target - log p_raw of each bucket, from all rows and from all trusted ones. ``trusted`` has the keys of the trusted rows."""
+    """log p_target - log p_raw of each bucket, from all rows and from all trusted ones. ``trusted`` has the keys of the trusted rows.
+
+    Rows with a null key are raw and never trusted; rows that repeat a trusted key are all trusted, keys that
+    ``trusted`` repeats count once; null texts have no n-grams. Without trusted n-grams every ratio is 0.
+    """
     raw, target = ngram_totals(docs, column), ngram_totals(trusted_rows(docs, trusted, key, column), column)
     if not target.sum():
         return np.zeros(BUCKETS)
@@ -146,8 +150,9 @@ def judge(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", column: str
     """``key``, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, llr and kept of every row.
 
     kept is false where the base rules fail, else whether llr >= ``threshold``. A null text is empty (no
-    words, so the base rules fail). Without a trusted row that has n-grams, every llr is 0. Null and
-    repeated keys keep their rows, other columns are ignored, an empty table gives no rows.
+    words, so the base rules fail); a text of any length is counted whole. Without a trusted row that has
+    n-grams, every llr is 0. Null and repeated keys keep their rows, other columns are ignored, whatever
+    their names, an empty table gives no rows.
     """
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(log_ratios(docs, trusted, key, column))
@@ -169,7 +174,12 @@ def judge(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", column: str
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, key: str = "doc_id", column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, with all their columns."""
+    """The rows of ``docs`` that :func:`judge` keeps, with all their columns and under all their names.
+
+    Each row is judged by its text alone: null and repeated keys, nulls in other columns and columns of any
+    name stay as they are. A null or empty text fails the base rules and goes; very long texts are judged
+    whole; an empty table gives no rows.
+    """
     table = docs.sparkSession.sparkContext.broadcast(log_ratios(docs, trusted, key, column))
     place = docs.columns.index(column)
 

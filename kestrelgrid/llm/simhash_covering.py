@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import bounded_batches, materialise, per_batch, text_or_empty
+from .common import materialise, per_batch, text_or_empty
 
 WIDTH, RADIUS, SEED, BITS = 4, 4, 42, 64
 #: Fingerprints of a bucket that one task holds and compares; a larger bucket is divided among tasks by an exact rule.
@@ -46,7 +46,6 @@ def fingerprint(text: str, width: int = WIDTH, seed: int = SEED) -> int:
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", column: str = "text", width: int = WIDTH, seed: int = SEED) -> DataFrame:
     """``key`` and fp (the fingerprint as a signed long) of every row's whole text."""
-    bounded_batches(docs.sparkSession)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t, width, seed) for t in batch.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
@@ -181,7 +180,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text",
     component_id is the smallest key reachable over links of at most ``radius`` differing bits, the row's
     own included. A null text has no words: fingerprint zero, linked like any other. Rows with a null key
     get their fingerprint and the component of its class, but no component is named after them (null if
-    all its keys are null). Repeated rows stay; other columns are ignored; an empty table gives no rows.
+    all its keys are null). Repeated rows stay; texts of any length are read whole; other columns are
+    ignored, whatever their names; an empty table gives no rows.
     """
     own, _ = materialise(fingerprints(docs, key, column, width, seed).select(F.col(key).alias("key"), "fp"), "fingerprints")
     classes, _ = materialise(own.groupBy("fp").agg(F.min("key").alias("rep")), "classes")
@@ -193,23 +193,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", column: str = "text",
     return out.select(F.col("key").alias(key), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that name their component, one for each key; all its columns.
-
-    A row with a null key names none and goes, as do all but one of the rows of a key; :func:`keep_one_row` does without keys.
-    """
-    found = near_duplicates(docs, key, column).where(F.col(key) == F.col("component_id")).select(F.col(key).alias("__kept")).distinct()
-    kept = docs.join(found, docs[key] == found["__kept"], "left_semi")
-    return kept.dropDuplicates([key])
-
-
 def keep_one_row(docs: DataFrame, key: str = "doc_id", column: str = "text", width: int = WIDTH, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """Exactly one row of every group of fingerprints joined by links of at most ``radius`` bits; all columns of ``docs``.
 
     A group is made by texts alone: rows with a null key are in it, and rows that share a key may be in different
-    ones. The row with the smallest key stays, null last; among rows of that key, the least digest of all columns.
+    ones. The row with the smallest key stays, null last; among rows of that key, the least digest of all columns;
+    of rows alike in every column, one. Null and empty texts are one group, as none has words; very long texts are
+    read whole; columns may have any names; an empty table gives no rows.
     """
-    bounded_batches(docs.sparkSession)
     digest = F.md5(F.to_json(F.struct(*[docs[c] for c in docs.columns])).cast("binary"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

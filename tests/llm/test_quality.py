@@ -60,6 +60,96 @@ def test_tables_add_up_to_the_trees():
     assert ((m.score(x[2000:]) > 0.5) == y[2000:]).mean() > 0.9
 
 
+def plain_features(text):
+    words, counts = re.findall(r"[^\x20\x09-\x0D]+", text), plain_counts(text)
+    w, c, lines = max(len(words), 1), max(counts[1], 1), text.count("\n") + 1
+    of = lambda chars: len(re.findall(chars, text))
+    upper, lower, size = of("[A-Z]"), of("[a-z]"), len(text.encode())
+    tail = text.rstrip(" \t\n\r\x0b\x0c")
+    return [
+        np.log1p(len(words)), counts[1] / w, counts[2] / c, upper / max(upper + lower, 1), of("[0-9]") / c, of(r"[.,;:?\"'()\-]") / c, of(r"\|") / w, of("!") / w,
+        counts[3] / lines, counts[4] / w, len(set(words)) / w, sum(a == b for a, b in zip(words, words[1:], strict=False)) / w, np.log1p(len(words) / lines),
+        1 - sum(ord(ch) < 128 for ch in text) / max(size, 1), sum(len(x.encode()) < 4 for x in words) / w, float(tail[-1:] in (".", "!", "?")),
+    ]
+
+
+@pytest.mark.parametrize("text", ["", " \n ", "a", "A b! c? (1) |x|\nnaïve 日本 the end.\n", "w w w\nw w w\n", "É!"])
+def test_features_equal_a_plain_version(text):
+    assert gam.features(text) == pytest.approx(plain_features(text), abs=1e-12)
+
+
+def plain_fit(x, y):
+    """Trees one after the other, each a list of (feature bins, value); a function that adds them up for a row."""
+    n, width = x.shape
+    cuts = [sorted(set(np.quantile(x[:, j], [k / gam.BINS for k in range(1, gam.BINS)]).tolist())) for j in range(width)]
+    pair_cuts = [sorted(set(np.quantile(x[:, j], [k / gam.PAIR_BINS for k in range(1, gam.PAIR_BINS)]).tolist())) for j in range(width)]
+    place = lambda c, v: sum(b <= v for b in c)
+    share = (sum(y) + 1) / (n + 2)
+    base, trees = float(np.log(share / (1 - share))), []
+    one = [[place(cuts[j], r[j]) for j in range(width)] for r in x]
+    two = [[place(pair_cuts[j], r[j]) for j in range(width)] for r in x]
+    value = lambda t, a, b: t[1][a[t[0]]] if isinstance(t[0], int) else t[1][b[t[0][0]] > t[2][0], b[t[0][1]] > t[2][1]]
+    total = [base] * n
+    gain = lambda rows: sum(p - v for p, v in rows) ** 2 / (sum(p * (1 - p) for p, _ in rows) + gam.L2)
+    leaf = lambda rows: -gam.RATE * sum(p - v for p, v in rows) / (sum(p * (1 - p) for p, _ in rows) + gam.L2)
+
+    def add(t):
+        trees.append(t)
+        for i in range(n):
+            total[i] += value(t, one[i], two[i])
+
+    def now():
+        return [(1 / (1 + np.exp(-s)), v) for s, v in zip(total, y, strict=True)]
+
+    for _ in range(gam.ROUNDS):
+        for j in range(width):
+            rows, size = now(), len(cuts[j]) + 1
+            part = lambda a, b: [r for r, at in zip(rows, one, strict=True) if a <= at[j] < b]  # noqa: B023, E731
+            edges = [0, size]
+            for _ in range(gam.CUTS):
+                best = (1e-9, 0)
+                for a, b in zip(edges, edges[1:], strict=False):
+                    found = [(gain(part(a, k)) + gain(part(k, b)) - gain(part(a, b)), -k) for k in range(a + 1, b)]
+                    if found and max(found)[0] > best[0]:
+                        best = (max(found)[0], -max(found)[1])
+                if not best[1]:
+                    break
+                edges = sorted([*edges, best[1]])
+            add((j, [leaf(part(max(e for e in edges if e <= k), min(e for e in edges if e > k))) for k in range(size)]))
+
+    def pair(i, j):
+        rows, best = now(), (0.0, None)
+        for a in range(len(pair_cuts[i])):
+            for b in range(len(pair_cuts[j])):
+                quads = {(p, q): [r for r, at in zip(rows, two, strict=True) if ((at[i] > a), (at[j] > b)) == (p, q)] for p in (False, True) for q in (False, True)}
+                g = sum(map(gain, quads.values())) - gain(rows)
+                if best[1] is None or g > best[0] + 1e-12:
+                    best = (g, ((i, j), {k: leaf(v) for k, v in quads.items()}, (a, b)))
+        return best
+
+    ranked = sorted(((pair(i, j)[0], i, j) for i in range(width) for j in range(i + 1, width)), key=lambda r: (-r[0], r[1], r[2]))[: gam.PAIRS]
+    for _ in range(gam.PAIR_ROUNDS):
+        for _, i, j in ranked:
+            add(pair(i, j)[1])
+
+    def score(row):
+        a, b = [place(c, v) for c, v in zip(cuts, row, strict=True)], [place(c, v) for c, v in zip(pair_cuts, row, strict=True)]
+        return 1 / (1 + np.exp(-base - sum(value(t, a, b) for t in trees)))
+
+    return score
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_lookup_tables_equal_the_sum_of_plainly_boosted_trees(monkeypatch, seed):
+    for name, v in {"BINS": 6, "PAIR_BINS": 4, "ROUNDS": 4, "PAIR_ROUNDS": 3, "PAIRS": 2}.items():
+        monkeypatch.setattr(gam, name, v)
+    rng = np.random.default_rng(seed)
+    x = rng.random((90, 4)).round(2)
+    y = ((x[:, 0] + x[:, 1] * x[:, 2] + rng.normal(0, 0.3, 90)) > 0.8).astype(float)
+    plain = plain_fit(x, y)
+    assert gam.fit(x, y).score(x) == pytest.approx([plain(r) for r in x], abs=1e-9)
+
+
 def plain_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines, seen, dup = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)], set(), 0
