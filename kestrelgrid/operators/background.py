@@ -42,7 +42,7 @@ def background_pool(effort: DataFrame, land: DataFrame, presence: DataFrame, geo
     far = spatial.radius_anti_join(c, p, buffer_m)
     drawn, _ = materialise(sampling.weighted_stratified_sample(far, "stratum", "weight", {k: int(goal * v) for k, v in shares.items()}, ["id"], seed), "drawn")
     thinned, _ = materialise(sampling.greedy_thin(drawn, thin_m, seed), "pool")
-    dated = sampling.temporal_borrow(thinned, p, thin_m * 4, seed=seed)
+    dated = sampling.temporal_borrow(thinned, p, seed=seed)
     return dated.select("longitude", "latitude", "year", "month", F.lit(0).alias("target"), "stratum", "weight", "cell")
 
 

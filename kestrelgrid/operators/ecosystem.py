@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise
+from .stats import quantile_row
+
 
 def valid(name: str) -> Column:
     return F.col(name).isNotNull() & ~F.isnan(name)
@@ -30,8 +33,8 @@ def synthesis(cube: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def stability(cells: DataFrame, percent: float = 0.99) -> DataFrame:
     """Adds stability = mean_suit / (mean_unc + 0.01), from 0 up to its 99th percentile."""
-    raw = cells.withColumn("stability", F.col("mean_suit") / (F.col("mean_unc") + 0.01))
-    top = raw.agg(F.percentile("stability", percent).alias("__top"))
+    raw, _ = materialise(cells.withColumn("stability", F.col("mean_suit") / (F.col("mean_unc") + 0.01)), "cells")
+    top = quantile_row(raw, {"__top": ("stability", percent)})
     return raw.crossJoin(F.broadcast(top)).withColumn("stability", F.greatest(F.lit(0.0), F.least("stability", "__top"))).drop("__top")
 
 
@@ -46,7 +49,7 @@ def priority(cells: DataFrame) -> DataFrame:
 
 def hotspots(cells: DataFrame, rich: float = 0.95, stable: float = 0.75, extrapolated: float = 0.5) -> DataFrame:
     """Adds hotspot (0 or 1): rich and stable cells that are little extrapolated, by percentiles over the cells."""
-    at = cells.agg(F.percentile("binary_richness", rich).alias("__rich"), F.percentile("stability", stable).alias("__stable"), F.percentile("mean_extrap", extrapolated).alias("__extrap"))
+    at = quantile_row(cells, {"__rich": ("binary_richness", rich), "__stable": ("stability", stable), "__extrap": ("mean_extrap", extrapolated)})
     hit = (F.col("binary_richness") >= F.col("__rich")) & (F.col("stability") >= F.col("__stable")) & (F.col("mean_extrap") <= F.col("__extrap"))
     return cells.crossJoin(F.broadcast(at)).withColumn("hotspot", hit.cast("smallint")).select(*cells.columns, "hotspot")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.pixels import flag
+from .stats import quantile_row
 
 #: Elevation limits of the lowland and highland flags: the training set, and the other set some surfaces were made with; fixed values.
 TRAINING_LIMITS, SURFACE_LIMITS = (100.0, 300.0), (50.0, 150.0)
@@ -37,12 +38,12 @@ def assertions(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def median_impute(df: DataFrame, values: list[str], fixed: dict[str, float] | None = None) -> DataFrame:
-    """Nulls as the column's exact median, or as a fixed value. Medians of all columns come from one pass."""
+    """Nulls as the column's exact median, or as a fixed value. Medians of all columns are found together."""
     fixed = fixed or {}
     found = [c for c in values if c not in fixed]
     out = df
     if found:
-        out = out.crossJoin(F.broadcast(df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(f"__{c}") for c in found])))
+        out = out.crossJoin(F.broadcast(quantile_row(df, {f"__{c}": (c, 0.5) for c in found})))
     return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(fixed[c]) if c in fixed else F.col(f"__{c}")) for c in values}).select(*df.columns)
 
 

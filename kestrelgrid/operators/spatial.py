@@ -20,15 +20,25 @@ def _around(df: DataFrame, size: float) -> DataFrame:
     return out.withColumns({"__cy": _cell("y", size) + F.col("__dy"), "__cx": _cell("x", size) + F.col("__dx")}).drop("__dy", "__dx")
 
 
-def within(left: DataFrame, right: DataFrame, radius: float, on: list[str] | None = None) -> DataFrame:
+#: Right points of a bucket that one task meets with the left ones about it; a fuller bucket is dealt to several tasks.
+CROWD = 4_096
+
+
+def within(left: DataFrame, right: DataFrame, radius: float, on: list[str] | None = None, crowd: int = CROWD) -> DataFrame:
     """(left columns, right_id, distance) of all pairs at most ``radius`` apart, with equal ``on`` columns.
 
-    Buckets have the radius as their side, so a partner is in one of nine; the right side is not replicated.
+    Buckets have the radius as their side, so a partner is in one of nine. The points of a crowded bucket are
+    dealt by hash into parts of about ``crowd``, and the left points about it meet each part.
     """
+    keys = ["__cy", "__cx", *(on or [])]
     r = right.select(F.col("id").alias("right_id"), F.col("x").alias("__rx"), F.col("y").alias("__ry"), *(on or []), _cell("y", radius).alias("__cy"), _cell("x", radius).alias("__cx"))
-    pairs = _around(left, radius).join(r, ["__cy", "__cx", *(on or [])])
+    crowded, _ = materialise(r.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / crowd).alias("__parts")).where("__parts > 1"), "crowded")
+    parts = F.coalesce("__parts", F.lit(1))
+    r = r.join(crowded, keys, "left").withColumn("__part", F.pmod(F.xxhash64("right_id"), parts)).drop("__parts")
+    l = _around(left, radius).join(crowded, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("__parts")  # noqa: E741
+    pairs = l.join(r, [*keys, "__part"])
     d2 = (F.col("x") - F.col("__rx")) ** 2 + (F.col("y") - F.col("__ry")) ** 2
-    return pairs.where(d2 <= radius * radius).withColumn("distance", F.sqrt(d2)).drop("__cy", "__cx", "__rx", "__ry")
+    return pairs.where(d2 <= radius * radius).withColumn("distance", F.sqrt(d2)).drop("__cy", "__cx", "__rx", "__ry", "__part")
 
 
 def radius_anti_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
@@ -44,55 +54,103 @@ def radius_anti_join(left: DataFrame, right: DataFrame, radius: float) -> DataFr
     return left.join(hit, "id", "left_anti")
 
 
-def knn(left: DataFrame, right: DataFrame, k: int, start: float, others_only: bool = False, on: list[str] | None = None) -> DataFrame:
+#: A node has FAN x FAN children; points that a leaf holds at most, but at the deepest level.
+FAN, LEAF, DEEPEST = 4, 64, 20
+
+
+def _nodes(points: DataFrame, keys: list[str]) -> DataFrame:
+    return points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("__rx").alias("x0"), F.max("__rx").alias("x1"), F.min("__ry").alias("y0"), F.max("__ry").alias("y1"))
+
+
+def _tree(r: DataFrame, on: list[str], leaf: int) -> tuple[dict[int, DataFrame], DataFrame, int]:
+    """A tree of square cells over the points (right_id, __rx, __ry, on): nodes by level (on, cy, cx, n and box), the points with their leaf (level, cy, cx), and the first level that has leaves.
+
+    All points are counted once at the level where a cell would hold ``leaf`` of evenly spread ones; the
+    levels above are sums of these. Points of cells that hold more go on, level by level, alone.
+    """
+    span = r.agg(F.min("__rx"), F.max("__rx"), F.min("__ry"), F.max("__ry"), F.count(F.lit(1))).first()
+    side = max(span[1] - span[0], span[3] - span[2]) or 1.0
+    start, cells = 0, 1
+    while cells * leaf < span[4]:
+        start, cells = start + 1, cells * FAN * FAN
+    keys = [*on, "cy", "cx"]
+
+    def at(level: int) -> dict:
+        inner = lambda c, low: F.least(F.floor((F.col(c) - low) / side * FAN**level), F.lit(FAN**level - 1)).cast("long")
+        return {"cy": inner("__ry", span[2]), "cx": inner("__rx", span[0])}
+
+    levels: dict[int, DataFrame] = {}
+    active, leaves, level = r, None, start
+    while True:
+        active, _ = materialise(active.withColumns(at(level)), "knn-points")
+        levels[level], _ = materialise(_nodes(active, keys), "knn-nodes")
+        crowded = levels[level].where(F.col("n") > leaf).select(*keys)
+        last = level == DEEPEST or not crowded.take(1)
+        mine = (active if last else active.join(crowded, keys, "left_anti")).withColumn("level", F.lit(level))
+        leaves = mine if leaves is None else leaves.unionByName(mine)
+        if last:
+            break
+        active, level = active.join(crowded, keys, "left_semi").drop("cy", "cx"), level + 1
+    for up in range(start - 1, -1, -1):
+        parents = levels[up + 1].withColumns({c: F.floor(F.col(c) / FAN) for c in ("cy", "cx")})
+        levels[up] = parents.groupBy(*keys).agg(F.sum("n").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    return levels, leaves, start
+
+
+def knn(left: DataFrame, right: DataFrame, k: int, others_only: bool = False, on: list[str] | None = None, leaf: int = LEAF) -> DataFrame:
     """(left_id, on, right_id, distance, rank): the k nearest right points of each left one, ties to smaller ids; exact.
 
-    With ``on``, only right points with equal columns count, and (id, on) names a left row. A round joins the
-    points still open with the buckets about them. What is found within the bucket's side is sure to be
-    nearest, so points with k such partners are done; the others go on with buckets twice as large. Once the
-    buckets cover all right points, all are done.
+    With ``on``, only right points with equal columns count, and (id, on) names a left row. All left points
+    go down a tree of cells together, a level a round: the boxes of a point's cells, taken by their farthest
+    corners, say how far k partners are at most, and cells beyond that are left. So a point meets the points
+    of a few leaves, wherever it stands and however crowded the right points are.
     """
     spark, on = left.sparkSession, on or []
-    span = right.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count(F.lit(1))).first()
-    ends = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if not span[4] or ends[0] is None:
-        empty = left.limit(0).select(F.col("id").cast("long").alias("left_id"), *on)
-        return empty.withColumns({"right_id": F.lit(0).cast("long"), "distance": F.lit(0.0), "rank": F.lit(0)})
-    extent = max(max(span[1], ends[1]) - min(span[0], ends[0]), max(span[3], ends[3]) - min(span[2], ends[2]))
-    open_, path = materialise(left.select("id", "x", "y", *on), "knn-open")
+    need = k + others_only
+    left = left.where("x IS NOT NULL AND y IS NOT NULL").select(F.col("id").alias("left_id"), "x", "y", *on)
     # of points at one place only the k (and perhaps the point itself) with the smallest ids can be among the nearest
     here = F.row_number().over(W.partitionBy("x", "y", *on).orderBy("id"))
-    right = right.select("id", "x", "y", *on).withColumn("__n", here).where(F.col("__n") <= k + others_only)
+    right = right.where("x IS NOT NULL AND y IS NOT NULL").select("id", "x", "y", *on).withColumn("__n", here).where(F.col("__n") <= need)
     r, _ = materialise(right.select(F.col("id").alias("right_id"), F.col("x").alias("__rx"), F.col("y").alias("__ry"), *on), "knn-right")
-    done: DataFrame | None = None
-    size = float(start)
-    while True:
-        last = size > extent
-        buckets = r.withColumns({"__cy": F.floor(F.col("__ry") / size), "__cx": F.floor(F.col("__rx") / size)})
-        pairs = _around(open_, size).join(buckets, ["__cy", "__cx", *on])
-        if others_only:
-            pairs = pairs.where("id <> right_id")
-        d = F.sqrt((F.col("x") - F.col("__rx")) ** 2 + (F.col("y") - F.col("__ry")) ** 2)
-        pairs = pairs.select(F.col("id").alias("left_id"), *on, "right_id", d.alias("distance"))
-        if not last:
-            pairs = pairs.where(F.col("distance") <= size)
-        rank = F.row_number().over(W.partitionBy("left_id", *on).orderBy("distance", "right_id"))
-        top = pairs.withColumn("rank", rank).where(F.col("rank") <= k)
-        found, _ = materialise(top.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("left_id", *on))), "knn-found")
-        full = found if last else found.where(F.col("n") == k)
-        done = full.drop("n") if done is None else done.unionByName(full.drop("n"))
-        if last:
-            break
-        closed = full.where("rank = 1").select(F.col("left_id").alias("id"), *on)
-        rest, rest_path = materialise(open_.join(closed, ["id", *on], "left_anti"), "knn-open")
+    if not r.take(1):
+        return left.limit(0).select(F.col("left_id").cast("long").alias("left_id"), *on, F.lit(0).cast("long").alias("right_id"), F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
+    levels, leaves, start = _tree(r, on, leaf)
+    bottom, who, box = max(levels), ["left_id", "x", "y", *on], ["n", "x0", "x1", "y0", "y1"]
+
+    def meet(rows: DataFrame, level: int) -> DataFrame:
+        """Rows with the children of their node, or with the root."""
+        nodes = levels[level].withColumns({"py": F.floor(F.col("cy") / FAN), "px": F.floor(F.col("cx") / FAN)})
+        if level == 0:
+            got = rows.join(nodes, on) if on else rows.crossJoin(nodes)
+        else:
+            got = rows.select(*who, F.col("cy").alias("py"), F.col("cx").alias("px")).join(nodes, [*on, "py", "px"])
+        is_leaf = F.lit(level == bottom) | (F.lit(level >= start) & (F.col("n") <= leaf))
+        return got.select(*who, F.lit(level).alias("level"), "cy", "cx", *box, is_leaf.alias("leaf"))
+
+    def near_ones(rows: DataFrame) -> DataFrame:
+        """Without the cells whose nearest side is farther than ``need`` partners are at most."""
+        off = [F.greatest(F.lit(0.0), F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1")) for c in "xy"]
+        end = [F.greatest(F.abs(F.col(c) - F.col(f"{c}0")), F.abs(F.col(c) - F.col(f"{c}1"))) for c in "xy"]
+        rows = rows.withColumns({"__near": F.sqrt(off[0] ** 2 + off[1] ** 2), "__far": F.sqrt(end[0] ** 2 + end[1] ** 2)})
+        of = W.partitionBy("left_id", *on)
+        so_far = F.sum("n").over(of.orderBy("__far", "level", "cy", "cx").rowsBetween(W.unboundedPreceding, W.currentRow))
+        rows = rows.withColumn("__sum", so_far).withColumn("__limit", F.min(F.when(F.col("__sum") >= need, F.col("__far"))).over(of))
+        return rows.where(F.col("__limit").isNull() | (F.col("__near") <= F.col("__limit") * (1 + 1e-9))).drop("__near", "__far", "__sum", "__limit")
+
+    reached, path = materialise(meet(left, 0), "knn-reached")
+    for level in range(1, bottom + 1):
+        further, further_path = materialise(near_ones(reached.where("leaf").unionByName(meet(reached.where("NOT leaf"), level))), "knn-reached")
         drop_path(spark, path)
-        open_, path, size = rest, rest_path, size * 2
-        if not open_.take(1):
-            break
-    return done
+        reached, path = further, further_path
+    pairs = reached.select(*who, "level", "cy", "cx").join(leaves, [*on, "level", "cy", "cx"])
+    if others_only:
+        pairs = pairs.where("left_id <> right_id")
+    d = F.sqrt((F.col("x") - F.col("__rx")) ** 2 + (F.col("y") - F.col("__ry")) ** 2)
+    rank = F.row_number().over(W.partitionBy("left_id", *on).orderBy("distance", "right_id"))
+    return pairs.select("left_id", *on, "right_id", d.alias("distance")).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def seam_trim(points: DataFrame, fold: str, radius: float, start: float | None = None) -> tuple[DataFrame, DataFrame]:
+def seam_trim(points: DataFrame, fold: str, radius: float) -> tuple[DataFrame, DataFrame]:
     """Points of earlier folds near later ones, and what that does to the folds' distance.
 
     Gives (kept, report): a point goes if a point of a fold later in order is closer than ``radius``. The
@@ -103,7 +161,7 @@ def seam_trim(points: DataFrame, fold: str, radius: float, start: float | None =
 
     def nearest(df: DataFrame) -> DataFrame:
         left = df.join(F.broadcast(folds), F.col(fold) < F.col("right_fold")).select("id", "x", "y", "right_fold", F.col(fold).alias("left_fold"))
-        near = knn(left, df.select("id", "x", "y", F.col(fold).alias("right_fold")), 1, start or radius, on=["right_fold"])
+        near = knn(left, df.select("id", "x", "y", F.col(fold).alias("right_fold")), 1, on=["right_fold"])
         return near.join(df.select(F.col("id").alias("left_id"), F.col(fold).alias("left_fold")), "left_id")
 
     before, _ = materialise(nearest(points), "seam-before")

@@ -79,17 +79,46 @@ def vif(df: DataFrame, values: list[str]) -> DataFrame:
     return df.sparkSession.createDataFrame([(values[i], float(v)) for i, v in zip(use, out, strict=True)], "feature string, vif double")
 
 
-def describe(df: DataFrame, values: list[str], percentiles: tuple[float, ...] = (0.01, 0.5, 0.99), population: bool = False) -> DataFrame:
-    """(feature, count, mean, std, min, percentiles, max) of numeric columns, from one pass over all of them.
+def quantiles(df: DataFrame, wanted: dict[str, tuple[float, ...]]) -> DataFrame:
+    """(feature, p, value): exact quantiles of numeric columns, with linear interpolation between neighbours; nulls don't count.
 
-    Percentiles are exact, with linear interpolation between neighbours.
+    The distinct values of all columns are ordered together by running sums within ranges, so no task holds
+    a column; the two neighbours of each quantile are then picked by their places. A column without values
+    gives no rows.
     """
+    names = list(wanted)
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in names]).unpivot([], names, "feature", "v").where("v IS NOT NULL")
+    hist = long.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n"))
+    placed = prefix_sums(hist.withColumn("__order", F.struct("feature", "v")), "__order", ["n"]).select("feature", "v", "n", "n_upto")
+    ends = placed.groupBy("feature").agg(F.min(F.col("n_upto") - F.col("n")).alias("before"), F.sum("n").alias("total"))  # a row a column
+    at = df.sparkSession.createDataFrame([(c, float(p)) for c in names for p in wanted[c]], "feature string, p double")
+    asked = ends.join(F.broadcast(at), "feature").withColumn("place", F.col("p") * (F.col("total") - 1))
+    low, high = F.floor("place"), F.ceil("place")
+    holds = lambda k: (F.col("n_upto") - F.col("n") - F.col("before") <= k) & (k < F.col("n_upto") - F.col("before"))
+    near = placed.join(F.broadcast(asked), "feature").where(holds(low) | holds(high))
+    pair = near.groupBy("feature", "p", "place").agg(F.min("v").alias("a"), F.max("v").alias("b"))
+    return pair.select("feature", "p", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * (F.col("place") - low)).alias("value"))
+
+
+def quantile_row(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row of named quantiles, each of (column, p); null where a column has no values."""
+    by_column: dict[str, tuple[float, ...]] = {}
+    for c, p in wanted.values():
+        by_column[c] = (*by_column.get(c, ()), p)
+    pick = lambda c, p: F.max(F.when((F.col("feature") == c) & (F.col("p") == float(p)), F.col("value")))
+    return quantiles(df, by_column).agg(*[pick(c, p).alias(name) for name, (c, p) in wanted.items()])
+
+
+def describe(df: DataFrame, values: list[str], percentiles: tuple[float, ...] = (0.01, 0.5, 0.99), population: bool = False) -> DataFrame:
+    """(feature, count, mean, std, min, percentiles, max) of numeric columns: one pass over all of them, and their :func:`quantiles`."""
     std = F.stddev_pop if population else F.stddev_samp
     names = [f"p{round(p * 100):02d}" for p in percentiles]
-    stats = [("count", lambda c: F.count(c).cast("double")), ("mean", F.avg), ("std", std), ("min", lambda c: F.min(c).cast("double")), *[(n, lambda c, p=p: F.percentile(c, p)) for n, p in zip(names, percentiles, strict=True)], ("max", lambda c: F.max(c).cast("double"))]
+    stats = [("count", lambda c: F.count(c).cast("double")), ("mean", F.avg), ("std", std), ("min", lambda c: F.min(c).cast("double")), ("max", lambda c: F.max(c).cast("double"))]
     row = df.agg(*[F.array(*[f(F.col(c).cast("double")) for _, f in stats]).alias(c) for c in values])
-    out = row.unpivot([], values, "feature", "v")
-    return out.select("feature", *[F.col("v")[k].cast("long" if n == "count" else "double").alias(n) for k, (n, _) in enumerate(stats)])
+    out = row.unpivot([], values, "feature", "v").select("feature", *[F.col("v")[k].cast("long" if n == "count" else "double").alias(n) for k, (n, _) in enumerate(stats)])
+    pick = lambda p: F.max(F.when(F.col("p") == float(p), F.col("value")))
+    found = quantiles(df, {c: percentiles for c in values}).groupBy("feature").agg(*[pick(p).alias(n) for n, p in zip(names, percentiles, strict=True)])
+    return out.join(found, "feature", "left").select("feature", "count", "mean", "std", "min", *names, "max")
 
 
 def infinite_share(df: DataFrame, values: list[str]) -> DataFrame:
@@ -120,10 +149,15 @@ def _score_histogram(df: DataFrame, label: str, score: str) -> DataFrame:
 
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """One row, roc_auc: the share of (positive, negative) pairs in order, ties half; null without both classes."""
-    h = prefix_sums(_score_histogram(df, label, score), score, ["n"])
+    return auc_of_histogram(_score_histogram(df, label, score), score)
+
+
+def auc_of_histogram(hist: DataFrame, score: str) -> DataFrame:
+    """:func:`roc_auc` from counts p and n of positives and negatives by distinct score."""
+    h = prefix_sums(hist, score, ["n"])
     below = F.col("n_upto") - F.col("n")
     parts = h.select((F.col("p") * (below + F.col("n") / 2)).alias("won"), "p", "n")
-    return parts.agg(F.try_divide(F.sum("won"), (F.sum("p") * F.sum("n")).cast("double")).alias("roc_auc"))
+    return parts.agg(F.try_divide(F.sum("won"), F.sum("p").cast("double") * F.sum("n").cast("double")).alias("roc_auc"))
 
 
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:

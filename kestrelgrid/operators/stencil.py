@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise
 from .components import connected_components
-from .stats import prefix_sums
+from .stats import prefix_sums, quantile_row
 
 
 def reflect(index: Column, size: int) -> Column:
@@ -105,7 +106,8 @@ def observer_kernel_density(points: DataFrame, land: DataFrame, height: int, wid
     counts = points.groupBy("pixel_y", "pixel_x").agg(F.count(F.lit(1)).cast("double").alias("value"))
     rough = gaussian_blur(counts, bandwidth_km / km_per_degree / resolution, height, width).join(land, ["pixel_y", "pixel_x"], "left_semi")
     fine = land.join(gaussian_blur(rough, 1.0, height, width), ["pixel_y", "pixel_x"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
-    top = fine.agg(F.percentile("value", 0.99).alias("top"))
+    fine, _ = materialise(fine, "effort")
+    top = quantile_row(fine, {"top": ("value", 0.99)})
     return fine.crossJoin(F.broadcast(top)).select("pixel_y", "pixel_x", F.when(F.col("top") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value") / F.col("top")))).otherwise(F.col("value")).alias("value"))
 
 

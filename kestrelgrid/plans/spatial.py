@@ -33,7 +33,7 @@ def radius_self_join(spark: SparkSession, d: str) -> DataFrame:
 @query("knn_join", f"WITH {_SIDES}, d AS (SELECT le.id AS left_id, ri.id AS right_id, sqrt((le.x - ri.x) ** 2 + (le.y - ri.y) ** 2) AS distance FROM le, ri) SELECT left_id, right_id, round(distance, 6) AS distance, row_number() OVER (PARTITION BY left_id ORDER BY distance, right_id)::INT AS rank FROM d QUALIFY rank <= 25")
 def knn_join(spark: SparkSession, d: str) -> DataFrame:
     left, right = _sides(spark, d)
-    return round6(spatial.knn(left, right, 25, 2.0))
+    return round6(spatial.knn(left, right, 25))
 
 
 _FOLD = POINTS + ", fo AS (SELECT id, x, y, CASE WHEN z >= 8 THEN 'North_Andaman' WHEN z >= 0 THEN 'Middle_Andaman' WHEN z >= -8 THEN 'South_Andaman' ELSE 'Nicobar' END AS fold FROM pt)"
@@ -45,7 +45,7 @@ k AS (SELECT a.fold AS fold_1, b.fold AS fold_2, min(sqrt((a.x - b.x) ** 2 + (a.
 SELECT fold_1, fold_2, round(min(d), 6) AS min_dist_before, round(any_value(after_), 6) AS min_dist_after, count(*) FILTER (d < 0.5) AS dropped FROM p LEFT JOIN k USING (fold_1, fold_2) GROUP BY ALL""")
 def seam_trim(spark: SparkSession, d: str) -> DataFrame:
     p = points(spark, d).select("id", "x", "y", fold_by_latitude(F.col("z"), (8.0, 0.0, -8.0)).alias("fold"))
-    _, report = spatial.seam_trim(p, "fold", 0.5, start=2.0)
+    _, report = spatial.seam_trim(p, "fold", 0.5)
     return round6(report)
 
 
@@ -60,7 +60,13 @@ def weighted_stratified_sample(spark: SparkSession, d: str) -> DataFrame:
     return sampling.weighted_stratified_sample(line, "stratum", "l_quantity", {"A": 700, "N": 300, "R": 100}, ["id"]).select("id", "stratum")
 
 
-@query("greedy_thin")
+#: Points in their order one after the other, each kept if no kept one is near: (place, kept points).
+_THIN = """o AS (SELECT id, x, y, row_number() OVER (ORDER BY {u}, id) AS n FROM {src}),
+visit(n, kept) AS (SELECT 0::BIGINT, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE)[] UNION ALL
+  SELECT o.n, CASE WHEN len(list_filter(kept, lambda k: (k.x - o.x) ** 2 + (k.y - o.y) ** 2 <= {r} * {r})) = 0 THEN list_append(kept, {{'id': o.id, 'x': o.x, 'y': o.y}}) ELSE kept END FROM visit JOIN o ON o.n = visit.n + 1)"""
+
+
+@query("greedy_thin", f"WITH RECURSIVE {POINTS}, {_THIN.format(u=_U.format(key='id'), src='pt', r='1.0::DOUBLE')} SELECT k.id AS id FROM (SELECT unnest(kept) AS k FROM visit WHERE n = (SELECT max(n) FROM o))")
 def greedy_thin(spark: SparkSession, d: str) -> DataFrame:
     return sampling.greedy_thin(points(spark, d).select("id", "x", "y"), 1.0).select("id")
 
@@ -71,14 +77,14 @@ SELECT id, (2005 + other % 20)::INT AS year, (1 + other % 12)::INT AS month FROM
 def temporal_borrow(spark: SparkSession, d: str) -> DataFrame:
     left, right = _sides(spark, d)
     right = right.withColumns({"year": (F.col("id") % 20 + 2005).cast("int"), "month": (F.col("id") % 12 + 1).cast("int")})
-    return sampling.temporal_borrow(left, right, 2.0).select("id", "year", "month")
+    return sampling.temporal_borrow(left, right).select("id", "year", "month")
 
 
 @query("leakage_audit", f"""WITH {_SIDES}, n AS (SELECT le.id, arg_min(ri.id, (sqrt((le.x - ri.x) ** 2 + (le.y - ri.y) ** 2), ri.id)) AS other, min(sqrt((le.x - ri.x) ** 2 + (le.y - ri.y) ** 2)) AS d FROM le, ri GROUP BY le.id)
 SELECT round(min(d), 6) AS min_dist, round(avg((id % 20 = other % 20)::INT) * 100, 6) AS same_year_overlap_pct, round(avg((id % 12 = other % 12)::INT) * 100, 6) AS same_month_overlap_pct FROM n""")
 def leakage_audit(spark: SparkSession, d: str) -> DataFrame:
     left, right = (s.withColumns({"year": F.col("id") % 20, "month": F.col("id") % 12}) for s in _sides(spark, d))
-    return round6(sampling.leakage_audit(left, right, 2.0))
+    return round6(sampling.leakage_audit(left, right))
 
 
 @query("season_alignment", "WITH a AS (SELECT month(o_orderdate)::INT AS month, count(*) / sum(count(*)) OVER () AS p FROM orders WHERE o_orderstatus = 'F' AND month(o_orderdate) <> 2 GROUP BY 1), b AS (SELECT month(o_orderdate)::INT AS month, count(*) / sum(count(*)) OVER () AS p FROM orders WHERE o_orderstatus = 'O' AND month(o_orderdate) <> 3 GROUP BY 1) SELECT month, round(coalesce(a.p, 0), 6) AS presence_prop, round(coalesce(b.p, 0), 6) AS background_prop FROM a FULL JOIN b USING (month)")
@@ -192,7 +198,21 @@ def corr_matrix(spark: SparkSession, d: str) -> DataFrame:
     return round6(stats.correlation(read(spark, d, "lineitem"), list(_VALUES)))
 
 
-@query("vif")
+def _det(rows: tuple[int, ...], cols: tuple[int, ...]) -> str:
+    """The determinant of some rows and columns of the matrix of sums g<i>_<j>, by its first row."""
+    if not rows:
+        return "1.0::DOUBLE"
+    parts = [f"{'-' if k % 2 else '+'} g{min(rows[0], c)}_{max(rows[0], c)} * ({_det(rows[1:], cols[:k] + cols[k + 1 :])})" for k, c in enumerate(cols)]
+    return " ".join(parts)
+
+
+_GRAM = (*_VALUES, "l_linenumber")
+_ALL4 = tuple(range(4))
+_VIF = "WITH g AS (SELECT " + ", ".join(f"sum({a}::DOUBLE * {b}) AS g{i}_{j}" for i, a in enumerate(_GRAM) for j, b in enumerate(_GRAM) if j >= i) + " FROM lineitem) "
+_VIF += " UNION ALL ".join(f"SELECT '{c}' AS feature, round(g{i}_{i} * ({_det(_ALL4[:i] + _ALL4[i + 1 :], _ALL4[:i] + _ALL4[i + 1 :])}) / ({_det(_ALL4, _ALL4)}), 6) AS vif FROM g" for i, c in enumerate(_GRAM))
+
+
+@query("vif", _VIF)
 def vif(spark: SparkSession, d: str) -> DataFrame:
     return round6(stats.vif(read(spark, d, "lineitem"), [*_VALUES, "l_linenumber"]))
 

@@ -25,7 +25,7 @@ def xy():
 
 def test_knn_is_exact_with_clusters_outliers_and_ties(spark, xy):
     got = {}
-    for r in spatial.knn(frame(spark, xy), frame(spark, xy), 7, 0.3, others_only=True).collect():
+    for r in spatial.knn(frame(spark, xy), frame(spark, xy), 7, others_only=True).collect():
         got.setdefault(r.left_id, {})[r.rank] = r.right_id
     for i, p in enumerate(xy):
         want = sorted((near(p, q), j) for j, q in enumerate(xy) if j != i)[:7]
@@ -33,8 +33,37 @@ def test_knn_is_exact_with_clusters_outliers_and_ties(spark, xy):
 
 
 def test_knn_of_few_and_of_none(spark, xy):
-    assert spatial.knn(frame(spark, xy[:3]), frame(spark, xy[:2]), 25, 1.0).count() == 6
-    assert spatial.knn(frame(spark, xy[:3]), frame(spark, xy[:0]), 25, 1.0).count() == 0
+    assert spatial.knn(frame(spark, xy[:3]), frame(spark, xy[:2]), 25).count() == 6
+    assert spatial.knn(frame(spark, xy[:3]), frame(spark, xy[:0]), 25).count() == 0
+
+
+@pytest.mark.parametrize("leaf", [1, 5, 64])
+def test_knn_of_far_points_and_crowds(spark, leaf):
+    rng = np.random.default_rng(5)
+    crowd = np.concatenate([rng.normal(0, 1e-6, (300, 2)), rng.normal(500, 1, (40, 2)), [[0.0, 0.0]] * 12])
+    seekers = np.concatenate([crowd[:20], rng.uniform(-1e6, 1e6, (10, 2)), [[499.0, 501.0]]])
+    got = {}
+    for r in spatial.knn(frame(spark, seekers), frame(spark, crowd), 4, leaf=leaf).collect():
+        got.setdefault(r.left_id, {})[r.rank] = r.right_id
+    d = lambda a, b: ((a[0] - b[0]) ** 2 + (a[1] - b[1]) ** 2) ** 0.5
+    for i, p in enumerate(seekers):
+        want = sorted((d(p, q), j) for j, q in enumerate(crowd))[:4]
+        assert [d(p, crowd[got[i][n]]) for n in (1, 2, 3, 4)] == [x for x, _ in want]
+
+
+def test_a_hundred_thousand_points_in_one_place(spark):
+    """Neither the search nor thinning makes the pairs of a crowd."""
+    crowd = spark.range(100_000).select("id", (F.rand(3) * 1e-3).alias("x"), (F.rand(4) * 1e-3).alias("y"))
+    far = frame(spark, [(0, 0), (1000, 1000), (-5e5, 3)], 1_000_000)
+    got = spatial.knn(far, crowd.unionByName(far), 3, others_only=True)
+    assert got.count() == 9
+    assert sampling.greedy_thin(crowd, 1.0).count() == 1
+
+
+@pytest.mark.parametrize("crowd", [1, 3, 4_096])
+def test_crowded_buckets_are_dealt_without_loss(spark, xy, crowd):
+    got = {(r.id, r.right_id) for r in spatial.within(frame(spark, xy), frame(spark, xy), 1.5, crowd=crowd).collect()}
+    assert got == {(i, j) for i, p in enumerate(xy) for j, q in enumerate(xy) if (p[0] - q[0]) ** 2 + (p[1] - q[1]) ** 2 <= 1.5 * 1.5}
 
 
 def test_radius_joins_at_the_edge(spark):
@@ -121,3 +150,22 @@ def test_borrowed_dates_come_from_the_nearest(spark):
     years = {r.id: r.year for r in got}
     assert 2000 <= years[1000] < 2025
     assert 2035 <= years[1001] < 2060
+
+
+def test_quantiles_equal_sparks_exact_percentile(spark):
+    rows = [(float(v), None if v % 3 else v / 7, 5) for v in [3, 3, 3, 1, 9, -2, 0, 40, 12, 7, 7]] + [(None, None, None)]
+    df = spark.createDataFrame(rows, "a double, b double, c int")
+    ps = (0.0, 0.01, 0.25, 0.5, 0.9, 0.99, 1.0)
+    got = {(r.feature, r.p): r.value for r in stats.quantiles(df, dict.fromkeys("abc", ps)).collect()}
+    want = df.agg(*[F.percentile(c, p).alias(f"{c}{p}") for c in "abc" for p in ps]).first()
+    assert got == {(c, p): pytest.approx(want[f"{c}{p}"]) for c in "abc" for p in ps}
+    assert stats.quantile_row(df.where("a > 100"), {"m": ("a", 0.5)}).first().m is None
+
+
+def test_split_and_auc_of_large_counts(spark):
+    df = spark.createDataFrame([(i, i % 3 if i % 3 else None) for i in range(100)], "id long, k int")
+    got = sampling.split(df, "k", ["id"], 0.1)
+    assert got.columns == ["id", "k", "is_validation"]
+    assert {r.k: r.n for r in got.where("is_validation").groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()} == {None: 3, 1: 3, 2: 3}
+    huge = spark.createDataFrame([(0.1, 0, 4_000_000_000), (0.9, 4_000_000_000, 0)], "s double, p long, n long")
+    assert stats.auc_of_histogram(huge, "s").first().roc_auc == 1.0
