@@ -156,17 +156,17 @@ def _training(spark: SparkSession, d: str) -> DataFrame:
 
 @query("gbt_spatial_cv")
 def gbt_spatial_cv(spark: SparkSession, d: str) -> DataFrame:
-    """Fold scores of the tier by presence count, and the AUC of the null model beside them."""
+    """Fold scores of the tier by presence count, and the AUC of the null model beside them. Times are left out."""
     rows = _training(spark, d)
     null = training.spatial_cv(rows, FEATURES, "vec_id", null_model=True).select("fold", F.col("auc").alias("null_auc"))
-    return round9(training.spatial_cv(rows, FEATURES, "vec_id").join(null, "fold"))
+    return round9(training.spatial_cv(rows, FEATURES, "vec_id").drop("time").join(null, "fold"))
 
 
 @query("feature_importance")
 def feature_importance(spark: SparkSession, d: str) -> DataFrame:
     rows = _training(spark, d)
     presences = rows.dropna(subset=FEATURES).where("target = 1").count()
-    return round9(training.importance(rows, FEATURES, training.tier(presences)))
+    return round9(training.importance(rows, FEATURES, training.tier(presences), "vec_id"))
 
 
 @query("governance_verdict", """WITH fm AS (SELECT 's' || (l_partkey % 6)::VARCHAR AS species, l_linenumber AS fold, avg(round(l_discount * 100)::INT) / 10.0::DOUBLE AS auc FROM lineitem GROUP BY ALL)

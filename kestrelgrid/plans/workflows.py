@@ -85,7 +85,7 @@ def model_workflow(spark: SparkSession, matrix: DataFrame, grid: DataFrame, feat
     """Training matrix and grid to fold metrics, verdicts and the synthesis of the species that pass; gives the synthesis."""
     folds, failed = training.train_all(matrix, features, key, save_to=f"{out}/models", choose=choose)
     if failed:
-        sinks.write_report(spark.createDataFrame(failed, "species string, error string"), f"{out}/failed_species")
+        sinks.write_report(spark.createDataFrame(failed, "species string, error string"), f"{out}/failed_species", append=True)
     if folds is None:
         raise ValueError("no species could be trained")
     folds, _ = materialise(folds, "folds")
