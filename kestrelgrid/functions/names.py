@@ -42,3 +42,12 @@ def reasons(items: list[Column]) -> Column:
 def impact_direction(label: Column) -> Column:
     """-1 for labels that begin with Negative, else 1."""
     return F.when(F.startswith(label, F.lit("Negative")), -1).otherwise(1)
+
+
+#: Abbreviated months in calendar order; fixed values.
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
+
+
+def month_name(month: Column) -> Column:
+    """The abbreviation of a month's number, null for others; rows are put in calendar order by the number."""
+    return F.when(month.between(1, 12), F.element_at(F.array(*map(F.lit, MONTHS)), month.cast("int")))

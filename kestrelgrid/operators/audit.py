@@ -25,7 +25,12 @@ def observation_audit(df: DataFrame, leakage: DataFrame, box: tuple[float, float
 
 
 def model_audit(summary: DataFrame, models: DataFrame, least_pass: int = 30, least_auc: float = 0.70, folds: int = 4) -> DataFrame:
-    """One row: species that pass, their mean AUC, fold models that should be there and aren't, status."""
+    """One row: species that pass, their mean AUC, fold models that should be there and aren't, status.
+
+    A model row whose optional column ``readable`` is false is corrupt, and counts as missing.
+    """
+    if "readable" in models.columns:
+        models = models.where("readable")
     ok = summary.where("governance = 'PASS'").select("species", "auc_mean")
     due = ok.select("species", F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("fold"))
     missing = due.join(models.select("species", "fold").distinct(), ["species", "fold"], "left_anti").agg(F.count(F.lit(1)).alias("missing_folds"))
@@ -35,10 +40,13 @@ def model_audit(summary: DataFrame, models: DataFrame, least_pass: int = 30, lea
 
 
 def raster_audit(layers: DataFrame, total_pixels: int, least_coverage: float = 3.0) -> DataFrame:
-    """One row over suitability layers (layer, value): layers out of range or not finite, least coverage percent, status."""
+    """One row over suitability layers (layer, value, perhaps extrapolation): layers out of range or not finite, least coverage percent, status; mean extrapolation where it is given."""
     v = F.col("value")
     per = layers.groupBy("layer").agg(F.max((~(F.abs(v) < float("inf")) | F.isnan(v)).cast("int")).alias("odd"), F.min(v).alias("lo"), F.max(v).alias("hi"), (F.count(v) * 100.0 / total_pixels).alias("coverage"))
+    extra = [layers.agg(F.avg("extrapolation").alias("mean_extrapolation"))] if "extrapolation" in layers.columns else []
     out = per.agg(F.count(F.lit(1)).alias("layers"), F.coalesce(F.sum("odd"), F.lit(0)).alias("non_finite"), F.count_if((F.col("lo") < -0.01) | (F.col("hi") > 1.01)).alias("bad_range"), F.min("coverage").alias("min_coverage"))
+    for one in extra:
+        out = out.crossJoin(one)
     return out.withColumn("status", F.when((F.col("non_finite") > 0) | (F.col("bad_range") > 0) | F.coalesce(F.col("min_coverage") < least_coverage, F.lit(True)), "FAIL").otherwise("PASS"))
 
 
@@ -68,3 +76,19 @@ def environment(spark) -> DataFrame:
 def diagnostics(audit: DataFrame) -> DataFrame:
     """Mosaic diagnostics by status: how many, their mean index over those that did not fail."""
     return audit.groupBy("status").agg(F.count(F.lit(1)).alias("mosaics"), F.avg(F.when(F.col("status") != "FAIL", F.col("ndvi_mean"))).alias("mean_ndvi"))
+
+
+def messages(audits: dict[str, DataFrame]) -> DataFrame:
+    """(category, status) of several audits with a ``status`` column, the worst of each."""
+    out = None
+    for name, a in audits.items():
+        one = a.agg(F.collect_set("status").alias("s")).select(F.lit(name).alias("category"), status_of(F.col("s")).alias("status"))
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+def verdict(audits: DataFrame, mean_auc: DataFrame, least_auc: float = 0.7) -> DataFrame:
+    """One row over all audits: failures, warnings, and READY if nothing failed and the mean AUC (``avg_auc``) is over the bar, else UNSTABLE."""
+    out = audits.agg(F.count_if(F.col("status") == "FAIL").alias("failures"), F.count_if(F.col("status") == "WARN").alias("warnings")).crossJoin(mean_auc.select("avg_auc").limit(1))
+    good = (F.col("failures") == 0) & F.coalesce(F.col("avg_auc") > least_auc, F.lit(False))
+    return out.withColumn("verdict", F.when(good, "READY").otherwise("UNSTABLE"))

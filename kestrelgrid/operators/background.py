@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coords import pixel_centre, utm46
+from ..functions.coords import pixel_centre, pixel_index, utm46
 from ..sources.scratch import materialise
 from . import sampling, spatial, stats, stencil
 
@@ -65,3 +65,29 @@ def effort_audit(effort: DataFrame, land_cells: int, all_cells: int, geo: list[f
         F.count_if(~nicobar).cast("double").alias("andaman_nonzero_pixels"), F.count_if(nicobar).cast("double").alias("nicobar_nonzero_pixels"), F.coalesce(F.sum(F.when(nicobar, v)), F.lit(0.0)).alias("nicobar_effort_sum"),
     )
     return row.unpivot([], row.columns, "metric", "value")
+
+
+def effort_records(records: DataFrame, targets: DataFrame, geo: list[float], height: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Effort points (pixel_y, pixel_x) on the grid, and one row: n_total_records, n_target_removed, n_invalid_coords, outside_pct, n_final_effort_records.
+
+    ``records``: (species_name, longitude, latitude); rows of ``targets`` (species_name) go, then those without
+    coordinates, then those off the grid. The counts come from one pass.
+    """
+    marked = records.join(targets.select("species_name", F.lit(True).alias("__target")).distinct(), "species_name", "left")
+    px, py = pixel_index(F.col("longitude"), geo[0], geo[1]), pixel_index(F.col("latitude"), geo[3], geo[5])
+    marked = marked.select(F.col("__target").isNotNull().alias("target"), (F.col("longitude").isNull() | F.col("latitude").isNull()).alias("invalid"), py.alias("pixel_y"), px.alias("pixel_x"))
+    inside = F.coalesce((F.col("pixel_x") >= 0) & (F.col("pixel_x") < width) & (F.col("pixel_y") >= 0) & (F.col("pixel_y") < height), F.lit(False))
+    valid = ~F.col("target") & ~F.col("invalid")
+    counts = marked.agg(
+        F.count(F.lit(1)).alias("n_total_records"), F.count_if("target").alias("n_target_removed"), F.count_if(~F.col("target") & F.col("invalid")).alias("n_invalid_coords"),
+        ((1 - F.avg(F.when(valid, inside.cast("double")))) * 100).alias("outside_pct"), F.count_if(valid & inside).alias("n_final_effort_records"),
+    )
+    return marked.where(valid & inside).select("pixel_y", "pixel_x"), counts
+
+
+def effort_audit_whole(effort: DataFrame, counts: DataFrame, raw_max: DataFrame, land_cells: int, all_cells: int, geo: list[float], bandwidth_km: float = 10.0, km_per_degree: float = 111.0, split: float = 10.0) -> DataFrame:
+    """(metric, value): the fifteen metrics of the effort report. ``counts``: of :func:`effort_records`; ``raw_max``: one row, raw_max_percentile."""
+    names = ["n_total_records", "n_target_removed", "n_invalid_coords", "n_final_effort_records"]
+    first = counts.select(*[F.col(n).cast("double").alias(n) for n in names]).crossJoin(raw_max.select(F.col("raw_max_percentile").cast("double").alias("raw_max_percentile")))
+    first = first.withColumns({"bandwidth_km": F.lit(float(bandwidth_km)), "sigma_pixels": F.lit(bandwidth_km / km_per_degree / geo[1]), "raster_resolution_deg": F.lit(float(geo[1]))})
+    return first.unpivot([], first.columns, "metric", "value").unionByName(effort_audit(effort, land_cells, all_cells, geo, split))

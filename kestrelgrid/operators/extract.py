@@ -36,6 +36,13 @@ def quality_years(stats: DataFrame, least: int = 75_000) -> DataFrame:
     return stats.where(F.col("valid_pixel_count") > least).select("year").distinct()
 
 
+def quality_years_or_all(stats: DataFrame | None, spark, least: int = 75_000, years: tuple[int, int] = (2005, 2025)) -> DataFrame:
+    """:func:`quality_years`; without the report, or one that lacks the count, every year of the span."""
+    if stats is None or not {"year", "valid_pixel_count"} <= set(stats.columns):
+        return spark.range(years[0], years[1] + 1).select(F.col("id").cast("int").alias("year"))
+    return quality_years(stats, least)
+
+
 def extract(points: DataFrame, layers: DataFrame, ranges: dict[str, tuple[float, float]] = RANGES, eco: tuple[str, ...] = ECO, least: int = 3, years: DataFrame | None = None) -> DataFrame:
     """Every point of a year that has all layers, with its features and ``reason`` (null for those that stay).
 

@@ -143,3 +143,49 @@ def warp_bilinear(pixels: DataFrame, targets: DataFrame) -> DataFrame:
     want = targets.select("pixel_y", "pixel_x", F.explode(corner).alias("c")).select("pixel_y", "pixel_x", F.col("c.y").alias("y"), F.col("c.x").alias("x"), F.col("c.w").alias("w")).where("w > 0")
     src = pixels.where("value IS NOT NULL").select(F.col("pixel_y").alias("y"), F.col("pixel_x").alias("x"), "value")
     return want.join(src, ["y", "x"]).groupBy("pixel_y", "pixel_x").agg((F.sum(F.col("value") * F.col("w")) / F.sum("w")).alias("value"))
+
+
+def target_positions(height: int, width: int, geo: list[float], source_geo: list[float], spark, to_source=None) -> DataFrame:
+    """(pixel_y, pixel_x, sy, sx): where the centre of every cell of a target grid stands in the source grid's cells.
+
+    Both transforms are north-up: (x origin, x step, 0, y origin, 0, y step). ``to_source`` maps the target's
+    (x, y) columns to the source's coordinates, where these are of another reference system.
+    """
+    cells = spark.range(height * width).select(F.floor(F.col("id") / width).cast("int").alias("pixel_y"), (F.col("id") % width).cast("int").alias("pixel_x"))
+    x, y = geo[0] + (F.col("pixel_x") + 0.5) * geo[1], geo[3] + (F.col("pixel_y") + 0.5) * geo[5]
+    x, y = to_source(x, y) if to_source else (x, y)
+    return cells.select("pixel_y", "pixel_x", ((y - source_geo[3]) / source_geo[5]).alias("sy"), ((x - source_geo[0]) / source_geo[1]).alias("sx"))
+
+
+def warp_to(pixels: DataFrame, source_geo: list[float], geo: list[float], height: int, width: int, how: str = "nearest", to_source=None, to_target=None) -> DataFrame:
+    """(pixel_y, pixel_x, value) on a target grid: nearest or bilinear at its cells' centres, or avg, max, min of the source cells whose centres fall into a target cell.
+
+    Cells without a source value have no row. ``to_source`` and ``to_target`` map coordinates (x, y) between
+    two reference systems; without them both grids are of one.
+    """
+    rows = pixels.where("value IS NOT NULL").select("pixel_y", "pixel_x", "value")
+    if how in ("nearest", "bilinear"):
+        at = target_positions(height, width, geo, source_geo, pixels.sparkSession, to_source)
+        if how == "bilinear":
+            return warp_bilinear(rows, at)
+        at = at.select("pixel_y", "pixel_x", F.floor("sy").cast("int").alias("y"), F.floor("sx").cast("int").alias("x"))
+        return at.join(rows.select(F.col("pixel_y").alias("y"), F.col("pixel_x").alias("x"), "value"), ["y", "x"]).select("pixel_y", "pixel_x", "value")
+    x, y = source_geo[0] + (F.col("pixel_x") + 0.5) * source_geo[1], source_geo[3] + (F.col("pixel_y") + 0.5) * source_geo[5]
+    x, y = to_target(x, y) if to_target else (x, y)
+    rows = rows.select(F.floor((y - geo[3]) / geo[5]).cast("int").alias("pixel_y"), F.floor((x - geo[0]) / geo[1]).cast("int").alias("pixel_x"), "value")
+    inside = F.col("pixel_y").between(0, height - 1) & F.col("pixel_x").between(0, width - 1)
+    return rows.where(inside).groupBy("pixel_y", "pixel_x").agg({"avg": F.avg, "max": F.max, "min": F.min}[how]("value").alias("value"))
+
+
+def cut_by(pixels: DataFrame, polygon: list[tuple[float, float]], geo: list[float]) -> DataFrame:
+    """Cells whose centre is within a polygon's ring of (x, y) corners, by crossings of a ray; the ring closes by itself.
+
+    A cutline has few corners; they are literals of the plan, and no cell is shuffled.
+    """
+    x, y = geo[0] + (F.col("pixel_x") + 0.5) * geo[1], geo[3] + (F.col("pixel_y") + 0.5) * geo[5]
+    crossings = F.lit(0)
+    for (ax, ay), (bx, by) in zip(polygon, [*polygon[1:], polygon[0]], strict=True):
+        if ay != by:
+            spans = (F.lit(ay) > y) != (F.lit(by) > y)
+            crossings = crossings + (spans & (x < ax + (y - ay) / (by - ay) * (bx - ax))).cast("int")
+    return pixels.where(crossings % 2 == 1)

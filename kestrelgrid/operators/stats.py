@@ -218,3 +218,8 @@ def downcast(df: DataFrame) -> DataFrame:
     fits = df.agg(*[F.max(F.abs(c)).alias(c) for c in longs]).first() if longs else {}
     small = {c for c in longs if fits[c] is None or fits[c] < 1 << 31}
     return df.select(*[F.col(c).cast("float").alias(c) if t == "double" else F.col(c).cast("int").alias(c) if c in small else F.col(c) for c, t in df.dtypes])
+
+
+def first_rows(report: DataFrame, order: list[str], n: int = 3) -> DataFrame:
+    """The first ``n`` rows of a report in a total order."""
+    return report.orderBy(*order).limit(n)

@@ -103,12 +103,21 @@ def gaussian_blur(pixels: DataFrame, sigma: float, height: int, width: int) -> D
 
 def observer_kernel_density(points: DataFrame, land: DataFrame, height: int, width: int, resolution: float, bandwidth_km: float = 10.0, km_per_degree: float = 111.0) -> DataFrame:
     """Observer effort on land: counts of (pixel_y, pixel_x) blurred at the bandwidth, masked to land, smoothed once more and masked again, scaled by the 99th percentile of the land cells and cut to [0, 1] (left as it is if that is zero)."""
+    fine, top = _raw_density(points, land, height, width, resolution, bandwidth_km, km_per_degree)
+    return fine.crossJoin(F.broadcast(top)).select("pixel_y", "pixel_x", F.when(F.col("top") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value") / F.col("top")))).otherwise(F.col("value")).alias("value"))
+
+
+def raw_density_percentile(points: DataFrame, land: DataFrame, height: int, width: int, resolution: float, bandwidth_km: float = 10.0, km_per_degree: float = 111.0) -> DataFrame:
+    """One row, raw_max_percentile: the value that :func:`observer_kernel_density` scales to one."""
+    return _raw_density(points, land, height, width, resolution, bandwidth_km, km_per_degree)[1].withColumnRenamed("top", "raw_max_percentile")
+
+
+def _raw_density(points: DataFrame, land: DataFrame, height: int, width: int, resolution: float, bandwidth_km: float, km_per_degree: float) -> tuple[DataFrame, DataFrame]:
     counts = points.groupBy("pixel_y", "pixel_x").agg(F.count(F.lit(1)).cast("double").alias("value"))
     rough = gaussian_blur(counts, bandwidth_km / km_per_degree / resolution, height, width).join(land, ["pixel_y", "pixel_x"], "left_semi")
     fine = land.join(gaussian_blur(rough, 1.0, height, width), ["pixel_y", "pixel_x"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
     fine, _ = materialise(fine, "effort")
-    top = quantile_row(fine, {"top": ("value", 0.99)})
-    return fine.crossJoin(F.broadcast(top)).select("pixel_y", "pixel_x", F.when(F.col("top") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("value") / F.col("top")))).otherwise(F.col("value")).alias("value"))
+    return fine, quantile_row(fine, {"top": ("value", 0.99)})
 
 
 def distance_transform(cells: DataFrame, feature: str = "feature", scale: float = 1.0) -> DataFrame:
@@ -154,6 +163,16 @@ def distance_transform(cells: DataFrame, feature: str = "feature", scale: float
     return out.select("pixel_y", "pixel_x", (F.nanvl("distance", F.lit(None).cast("double")) * scale).alias("distance"))
 
 
+def inland_water_distance(cells: DataFrame, km_per_cell: float, least: float = 50.0) -> DataFrame:
+    """(pixel_y, pixel_x, distance): kilometres from every land cell to the nearest land cell with more water than ``least`` percent; cells off land have none.
+
+    ``cells``: (pixel_y, pixel_x, water, land boolean).
+    """
+    water = F.col("land") & F.coalesce(F.col("water") > least, F.lit(False))
+    near = distance_transform(cells.select("pixel_y", "pixel_x", water.alias("feature")), scale=km_per_cell)
+    return cells.select("pixel_y", "pixel_x", "land").join(near, ["pixel_y", "pixel_x"]).select("pixel_y", "pixel_x", F.when(F.col("land"), F.col("distance")).alias("distance"))
+
+
 def label_components(cells: DataFrame) -> DataFrame:
     """4-neighbour components of a set of (pixel_y, pixel_x) cells: (pixel_y, pixel_x, component), numbered from 1 in row order of their first cells.
 

@@ -131,17 +131,9 @@ def hist2d(spark: SparkSession, d: str) -> DataFrame:
 
 
 H = W_ = 24
-#: A small raster with holes: the summed quantity of each (supplier, part) cell whose keys don't sum to a multiple of five.
-_RASTER = f"ra AS (SELECT (l_suppkey % {H})::INT AS pixel_y, (l_partkey % {W_})::INT AS pixel_x, (sum(l_quantity::BIGINT) % 97)::DOUBLE AS value FROM lineitem WHERE (l_suppkey % {H} + l_partkey % {W_} * 7) % 5 <> 0 GROUP BY ALL)"
-
-
-def _raster(spark: SparkSession, d: str) -> DataFrame:
-    line = read(spark, d, "lineitem").select((F.col("l_suppkey") % H).cast("int").alias("pixel_y"), (F.col("l_partkey") % W_).cast("int").alias("pixel_x"), F.col("l_quantity").cast("long").alias("q"))
-    return line.where((F.col("pixel_y") + F.col("pixel_x") * 7) % 5 != 0).groupBy("pixel_y", "pixel_x").agg((F.sum("q") % 97).cast("double").alias("value"))
-
-
-#: The same without holes.
-_FULL = _RASTER.replace(f"WHERE (l_suppkey % {H} + l_partkey % {W_} * 7) % 5 <> 0 ", "")
+#: A small raster of all rows: the summed quantity of each (supplier, part) cell. Sums that divide by five are holes: cells (in ca) without a value (not in ra).
+_FULL = f"ra AS (SELECT (l_suppkey % {H})::INT AS pixel_y, (l_partkey % {W_})::INT AS pixel_x, (sum(l_quantity::BIGINT) % 97)::DOUBLE AS value FROM lineitem GROUP BY ALL)"
+_RASTER = _FULL.replace("ra AS", "al AS") + ", ca AS (SELECT pixel_y, pixel_x, CASE WHEN value % 5 <> 0 THEN value END AS value FROM al), ra AS (SELECT * FROM ca WHERE value IS NOT NULL)"
 
 
 def _full(spark: SparkSession, d: str) -> DataFrame:
@@ -149,6 +141,10 @@ def _full(spark: SparkSession, d: str) -> DataFrame:
     return line.groupBy("pixel_y", "pixel_x").agg((F.sum("q") % 97).cast("double").alias("value"))
 
 
+def _raster(spark: SparkSession, d: str) -> DataFrame:
+    return _full(spark, d).withColumn("value", F.when(F.col("value") % 5 != 0, F.col("value")))
+
+
 _CELLS = f"ce AS (SELECT y::INT AS pixel_y, x::INT AS pixel_x FROM range({H}) a(y), range({W_}) b(x))"
 
 
@@ -176,7 +172,7 @@ def gaussian_blur(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("distance_transform", f"""WITH {_RASTER}, f AS (SELECT pixel_y AS fy, pixel_x AS fx FROM ra WHERE value >= 80)
-SELECT pixel_y, pixel_x, round(min(sqrt((pixel_y - fy) ** 2 + (pixel_x - fx) ** 2)) * 0.5, 9) AS distance FROM ra, f GROUP BY ALL""")
+SELECT pixel_y, pixel_x, round(min(sqrt((pixel_y - fy) ** 2 + (pixel_x - fx) ** 2)) * 0.5, 9) AS distance FROM ca, f GROUP BY ALL""")
 def distance_transform(spark: SparkSession, d: str) -> DataFrame:
     return round9(stencil.distance_transform(_raster(spark, d).withColumn("feature", F.col("value") >= 80), scale=0.5))
 

@@ -20,7 +20,7 @@ from ..sources.scratch import materialise
 def occurrence_workflow(spark: SparkSession, folder: str, out: str, formats: tuple[str, ...] = (), years: tuple[int, int] = (2005, 2025), box: tuple[float, float, float, float] = (6.0, 14.0, 92.0, 94.5), score: dict | None = None) -> DataFrame:
     """Raw files to thinned presences, with all reports. Raises if the final gate fails."""
     raw, files = read_occurrences(spark, folder)
-    sinks.write_report(spark.createDataFrame(files, "file string, columns int, note string"), f"{out}/schema_audit")
+    sinks.write_report(spark.createDataFrame(files, "file string, columns int, note string, names string"), f"{out}/schema_audit")
     raw, _ = materialise(raw, "raw")
     sinks.write_report(occ.missing_report(raw), f"{out}/missing_value_report")
     dense = occ.drop_sparse(raw)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import csv
 from collections import defaultdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,45 +73,56 @@ def union_sources(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def read_occurrences(spark: SparkSession, folder: str) -> tuple[DataFrame, list[tuple[str, int, str]]]:
-    """All CSV files below ``folder`` as one table of strings with ``source_file``, and an audit row (file, columns, note) of each.
-
-    Files with the same header are read by one scan; files without rows are skipped; a file that can't be
-    read is noted and skipped.
+def header_of(spark: SparkSession, path: str) -> tuple[list[str], bool]:
+    """The names in a CSV file's first line as they are written, quotes and repeats included, and whether another line follows."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        lines = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+        first, second = lines.readLine(), lines.readLine()
+    finally:
+        stream.close()
+    return next(csv.reader([(first or "").removeprefix("\ufeff")]), []), second is not None
+
+
+def read_occurrences(spark: SparkSession, folder: str) -> tuple[DataFrame, list[tuple[str, int, str, str]]]:
+    """All CSV files below ``folder`` as one table of strings with ``source_file``, and an audit row (file, columns, note, names) of each.
+
+    Headers are taken from the files themselves and columns by their place, so repeated names, names that end
+    in digits and quoted commas stay apart until the first of each name is picked. Files with the same header
+    are read by one scan; files without rows are skipped; a file that can't be read is noted and skipped.
     """
     groups: dict[tuple[str, ...], list[str]] = defaultdict(list)
-    audit: list[tuple[str, int, str]] = []
+    audit: list[tuple[str, int, str, str]] = []
     for path, size in list_files(spark, folder, ".csv"):
         name = path.rpartition("/")[2]
         try:
-            lines = spark.read.text(path).limit(2).collect() if size else []
-            if len(lines) < 2:
-                audit.append((name, 0, "empty"))
+            header, more = header_of(spark, path) if size else ([], False)
+            if not more:
+                audit.append((name, 0, "empty", ""))
                 continue
-            header = tuple(spark.read.option("header", True).option("inferSchema", False).csv(path).columns)
-            raw = [c.lower().strip() for c in lines[0].value.split(",")]
+            raw = [c.lower().strip() for c in header]
             twice = sorted({c for c in raw if raw.count(c) > 1})
-            audit.append((name, len(raw), f"duplicates: {', '.join(twice)}" if twice else ""))
-            groups[header].append(path)
+            audit.append((name, len(raw), f"duplicates: {', '.join(twice)}" if twice else "", "|".join(sorted(set(raw)))))
+            groups[tuple(header)].append(path)
         except Exception as e:  # noqa: BLE001  a file that can't be read must not stop the others
-            audit.append((name, 0, f"error: {str(e)[:200]}"))
+            audit.append((name, 0, f"error: {str(e)[:200]}", ""))
     frames = []
     for header, paths in groups.items():
         schema = T.StructType([T.StructField(f"h{k}", T.StringType()) for k in range(len(header))])
         rows = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE").option("escape", '"').csv(paths)
-        names = [re.sub(r"\d+$", "", h) if h not in header[:k] and re.sub(r"\d+$", "", h) in header[:k] else h for k, h in enumerate(header)]
-        file = rows.select("*", F.col("_metadata.file_name").alias("__file"))
-        body = harmonise(file.drop("__file").toDF(*names)).columns
-        unique = file.toDF(*[f"c{k}" for k in range(len(names))], "source_file")
-        place = {}
-        for k, h in enumerate(names):
-            place.setdefault(canonical_name(h), f"c{k}")
-        frames.append(unique.select(*[F.col(place[c]).alias(c) for c in body], "source_file"))
+        frames.append(harmonise(rows.select("*", F.col("_metadata.file_name").alias("source_file")).toDF(*header, "source_file")))
     if not frames:
         raise ValueError(f"no occurrence rows below {folder}")
     return union_sources(frames), audit
 
 
+def column_union(audit: list[tuple[str, int, str, str]]) -> list[str]:
+    """The names of the columns of all files together."""
+    return sorted({c for *_, names in audit for c in names.split("|") if c})
+
+
 def read_projected(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
     """A CSV scan of some columns with given types; values that don't parse become null."""
     raw = spark.read.option("header", True).csv(path)

@@ -54,12 +54,82 @@ def _tags(data: bytes) -> tuple[str, dict[int, tuple]]:
     return order, out
 
 
+#: Codes of TIFF's LZW that clear the table and end the data, and the most bits of a code; fixed values of the format.
+_CLEAR, _END, _MOST_BITS = 256, 257, 12
+
+
+def lzw_decode(data: bytes) -> bytes:
+    """LZW with codes of 9 to 12 bits, highest bit first; the width grows one code early."""
+    out, table, width, held, bits, last = bytearray(), [], 9, 0, 0, b""
+    for byte in data:
+        held, bits = (held << 8 | byte) & 0xFFFFFF, bits + 8
+        if bits < width:
+            continue
+        bits -= width
+        code = held >> bits & (1 << width) - 1
+        if code == _END:
+            break
+        if code == _CLEAR:
+            table, width, last = [bytes([k]) for k in range(256)] + [b"", b""], 9, b""
+            continue
+        entry = table[code] if code < len(table) else last + last[:1]
+        out += entry
+        if last:
+            table.append(last + entry[:1])
+            if len(table) >= (1 << width) - 1 and width < _MOST_BITS:
+                width += 1
+        last = entry
+    return bytes(out)
+
+
+def lzw_encode(data: bytes) -> bytes:
+    out, held, bits, width = bytearray(), 0, 0, 9
+    table: dict[bytes, int] = {}
+
+    def put(code: int) -> None:
+        nonlocal held, bits
+        held, bits = held << width | code, bits + width
+        while bits >= 8:
+            bits -= 8
+            out.append(held >> bits & 255)
+        held &= (1 << bits) - 1
+
+    def fresh() -> None:
+        nonlocal table, width
+        put(_CLEAR)
+        table, width = {bytes([k]): k for k in range(256)}, 9
+
+    fresh()
+    run = b""
+    for byte in data:
+        longer = run + bytes([byte])
+        if longer in table:
+            run = longer
+            continue
+        put(table[run])
+        table[longer] = len(table) + 2
+        if len(table) + 2 == (1 << width):
+            width += 1
+        if len(table) + 2 >= (1 << _MOST_BITS) - 2:
+            fresh()
+        run = bytes([byte])
+    if run:
+        put(table[run])
+        table[run + b"?"] = 0
+        if len(table) + 2 == (1 << width) and width < _MOST_BITS:
+            width += 1
+    put(_END)
+    if bits:
+        out.append(held << (8 - bits) & 255)
+    return bytes(out)
+
+
 def decode_tiff(data: bytes) -> tuple[np.ndarray, float | None]:
-    """Band one of a baseline TIFF and its nodata value: strips or tiles, uncompressed or deflate, with or without row differences."""
+    """Band one of a baseline TIFF and its nodata value: strips or tiles, uncompressed, LZW or deflate, plain or with the differences of whole numbers or of floats' bytes."""
     order, t = _tags(data)
     w, h = t[256][0], t[257][0]
     kind = np.dtype(order + _TIFF_TYPES[t.get(339, (1,))[0], t.get(258, (1,))[0]])
-    packing, differences = t.get(259, (1,))[0], t.get(317, (1,))[0] == 2
+    packing, predictor = t.get(259, (1,))[0], t.get(317, (1,))[0]
     tiled = 324 in t
     bw, bh = (t[322][0], t[323][0]) if tiled else (w, t.get(278, (h,))[0])
     starts, sizes = (t[324], t[325]) if tiled else (t[273], t[279])
@@ -69,12 +139,18 @@ def decode_tiff(data: bytes) -> tuple[np.ndarray, float | None]:
         block = data[a : a + n]
         if packing in (8, 32946):
             block = zlib.decompress(block)
+        elif packing == 5:
+            block = lzw_decode(block)
         elif packing != 1:
             raise ValueError(f"TIFF compression {packing} isn't supported")
-        rows = np.frombuffer(block, kind)
-        rows = rows[: len(rows) // bw * bw].reshape(-1, bw)
-        if differences:
-            rows = np.cumsum(rows, axis=1, dtype=kind)
+        if predictor == 3:  # a row's bytes are sorted by their weight, highest first, then differenced
+            rows = np.cumsum(np.frombuffer(block, np.uint8).reshape(-1, bw * kind.itemsize), axis=1, dtype=np.uint8)
+            rows = np.ascontiguousarray(rows.reshape(len(rows), kind.itemsize, bw).transpose(0, 2, 1)).view(kind.newbyteorder(">")).reshape(-1, bw)
+        else:
+            rows = np.frombuffer(block, kind)
+            rows = rows[: len(rows) // bw * bw].reshape(-1, bw)
+            if predictor == 2:
+                rows = np.cumsum(rows, axis=1, dtype=kind)
         y, x = k // across * bh, k % across * bw
         out[y : y + len(rows), x : x + bw] = rows
     nodata = bytes(t[42113]).rstrip(b"\0 ").decode() if 42113 in t else ""
@@ -105,32 +181,54 @@ def pick_subdataset(found: list[tuple[str, str]], keyword: str) -> str | None:
     return next((name for name, text in found if keyword.lower() in text.lower()), None)
 
 
-def encode_tiff(band: np.ndarray, geo: list[float] | None = None, nodata: float | None = -9999.0) -> bytes:
-    """A single-band deflate TIFF of 32-bit floats, a strip a row, with pixel scale, tie point and nodata; NaN is written as nodata."""
+def encode_tiff(band: np.ndarray, geo: list[float] | None = None, nodata: float | None = -9999.0, tile: int = 256, epsg: int | None = 4326) -> bytes:
+    """A single-band tiled LZW TIFF of 32-bit floats with the float predictor, pixel scale, tie point, nodata and a geographic EPSG code; NaN is written as nodata."""
     a = np.asarray(band, "<f4")
     if nodata is not None:
         a = np.where(np.isnan(a), np.float32(nodata), a)
     h, w = a.shape
-    strips = [zlib.compress(row.tobytes()) for row in a]
-    starts = np.cumsum([8, *map(len, strips[:-1])]).tolist()
-    tags: dict[int, tuple[int, str, list]] = {256: (4, "I", [w]), 257: (4, "I", [h]), 258: (3, "H", [32]), 259: (3, "H", [8]), 262: (3, "H", [1]), 273: (4, "I", starts), 277: (3, "H", [1]), 278: (4, "I", [1]), 279: (4, "I", [len(s) for s in strips]), 339: (3, "H", [3])}
+    across, down = -(-w // tile), -(-h // tile)
+    whole = np.zeros((down * tile, across * tile), ">f4")
+    whole[:h, :w] = a
+    blocks = []
+    for y in range(down):
+        for x in range(across):
+            block = np.ascontiguousarray(whole[y * tile : (y + 1) * tile, x * tile : (x + 1) * tile])
+            rows = block.view(np.uint8).reshape(tile, tile, 4).transpose(0, 2, 1).reshape(tile, 4 * tile)
+            blocks.append(lzw_encode(np.diff(rows, axis=1, prepend=np.uint8(0)).astype(np.uint8).tobytes()))
+    starts = np.cumsum([8, *map(len, blocks[:-1])]).tolist()
+    tags: dict[int, tuple[int, str, list]] = {
+        256: (4, "I", [w]), 257: (4, "I", [h]), 258: (3, "H", [32]), 259: (3, "H", [5]), 262: (3, "H", [1]), 277: (3, "H", [1]), 284: (3, "H", [1]), 317: (3, "H", [3]),
+        322: (4, "I", [tile]), 323: (4, "I", [tile]), 324: (4, "I", starts), 325: (4, "I", [len(b) for b in blocks]), 339: (3, "H", [3]),
+    }
     if geo:
         tags |= {33550: (12, "d", [geo[1], -geo[5], 0.0]), 33922: (12, "d", [0.0, 0.0, 0.0, geo[0], geo[3], 0.0])}
+    if geo and epsg:  # keys: version, then geographic model, pixels as areas, the code
+        tags[34735] = (3, "H", [1, 1, 0, 3, 1024, 0, 1, 2, 1025, 0, 1, 1, 2048, 0, 1, epsg])
     if nodata is not None:
         tags[42113] = (2, "B", list(f"{nodata:g}\0".encode()))
-    data = b"".join(strips)
+    data = b"".join(blocks)
     extra_at, extra, entries = 8 + len(data), b"", b""
     for tag, (kind, fmt, values) in sorted(tags.items()):
         packed = struct.pack(f"<{len(values)}{fmt}", *values)
         if len(packed) > 4:
             entries += struct.pack("<HHII", tag, kind, len(values), extra_at + len(extra))
-            extra += packed
+            extra += packed + b"\0" * (len(packed) % 2)
         else:
             entries += struct.pack("<HHI", tag, kind, len(values)) + packed.ljust(4, b"\0")
     return b"II*\0" + struct.pack("<I", extra_at + len(extra)) + data + extra + struct.pack("<H", len(tags)) + entries + b"\0" * 4
 
 
-def tiff_layers(layers: DataFrame, height: int, width: int, geo: list[float] | None = None, nodata: float = -9999.0) -> DataFrame:
+def geo_of(data: bytes) -> tuple[list[float] | None, int | None]:
+    """The six numbers of a TIFF's transform, and its geographic or projected EPSG code, where it has them."""
+    _, t = _tags(data)
+    keys = t.get(34735, ())
+    codes = {keys[k]: keys[k + 3] for k in range(4, len(keys) - 3, 4) if keys[k + 1] == 0}
+    geo = [t[33922][3], t[33550][0], 0.0, t[33922][4], 0.0, -t[33550][1]] if 33550 in t and 33922 in t else None
+    return geo, codes.get(3072, codes.get(2048))
+
+
+def tiff_layers(layers: DataFrame, height: int, width: int, geo: list[float] | None = None, nodata: float = -9999.0, tile: int = 256) -> DataFrame:
     """(layer, content): each layer of (layer, pixel_y, pixel_x, value) as the bytes of a TIFF. A task holds one raster."""
 
     def encode(pdf):
@@ -138,7 +236,20 @@ def tiff_layers(layers: DataFrame, height: int, width: int, geo: list[float] | N
 
         band = np.full((height, width), np.nan)
         band[pdf.pixel_y.to_numpy(int), pdf.pixel_x.to_numpy(int)] = pdf.value.to_numpy(float)
-        return pd.DataFrame({"layer": [pdf.layer.iloc[0]], "content": [encode_tiff(band, geo, nodata)]})
+        return pd.DataFrame({"layer": [pdf.layer.iloc[0]], "content": [encode_tiff(band, geo, nodata, tile)]})
 
     inside = F.col("pixel_y").between(0, height - 1) & F.col("pixel_x").between(0, width - 1)
     return layers.where(inside).select("layer", "pixel_y", "pixel_x", "value").groupBy("layer").applyInPandas(encode, "layer string, content binary")
+
+
+def write_tiffs(layers: DataFrame, folder: str, height: int, width: int, geo: list[float] | None = None, nodata: float = -9999.0, tile: int = 256) -> None:
+    """A file <layer>.tif of every layer in ``folder``, on any file system that Spark knows; the driver passes on one encoded raster at a time."""
+    spark = layers.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for r in tiff_layers(layers, height, width, geo, nodata, tile).toLocalIterator():
+        at = hadoop(f"{folder}/{r.layer}.tif")
+        out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+        try:
+            out.write(r.content)
+        finally:
+            out.close()

@@ -24,7 +24,16 @@ def test_unlike_headers_become_one_table(spark, tmp_path):
     assert rows["Corvus corone"].latitude == "9"
     assert rows["Corvus corax"].latitude is None
     assert "empty" not in df.columns
-    assert {n: note for n, _, note in audit} == {"one.csv": "", "two.csv": "", "three.csv": "", "none.csv": "empty", "head.csv": "empty"}
+    assert {n: note for n, _, note, _ in audit} == {"one.csv": "", "two.csv": "", "three.csv": "", "none.csv": "empty", "head.csv": "empty"}
+
+
+def test_repeated_quoted_and_digit_ended_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('\ufeffdecimalLatitude,decimalLatitude,decimalLongitude,species,note,note2,"place, full",NOTE\n7.5,1,93.5,Anas crecca,n1,n2,"x, y",n3\n')
+    df, audit = src.read_occurrences(spark, str(tmp_path))
+    r = df.first().asDict()
+    assert r == {"latitude": "7.5", "longitude": "93.5", "species_name": "Anas crecca", "note": "n1", "note2": "n2", "place, full": "x, y", "source_file": "a.csv"}
+    assert audit == [("a.csv", 8, "duplicates: decimallatitude, note", "decimallatitude|decimallongitude|note|note2|place, full|species")]
+    assert "note2" in src.column_union(audit)
 
 
 def test_an_empty_first_alias_hides_a_filled_second_one(spark):
@@ -77,6 +86,22 @@ def test_tiff_layers(spark, tmp_path, options, kind):
     assert got == {(y, x): float(a[y, x]) for y in range(5) for x in range(6) if a[y, x] != -99}
 
 
+@pytest.mark.parametrize("n", [0, 1, 5, 300, 5_000, 70_000])
+def test_lzw_round_trip(n):
+    rng = np.random.default_rng(n)
+    for data in (rng.integers(0, 256, n).astype(np.uint8).tobytes(), b"ab" * n, bytes(n), rng.integers(0, 3, n).astype(np.uint8).tobytes()):
+        assert pixels.lzw_decode(pixels.lzw_encode(data)) == data
+
+
+def test_lzw_of_the_format_s_example():
+    """7 7 7 8 8 7 7 6 6 as nine-bit codes: clear, 7, 258, 8, 8, 258, 6, 6, end."""
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]
+    bits = "".join(f"{c:09b}" for c in codes)
+    data = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
+    assert pixels.lzw_decode(data) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    assert pixels.lzw_encode(bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])) == data
+
+
 def test_tiles_by_date(spark, tmp_path):
     for n in ("MOD.A2010001.h1.hdf", "MOD.A2010001.h2.hdf", "MOD.A2010017.h1.hdf"):
         (tmp_path / n).write_bytes(b"x")
@@ -136,6 +161,15 @@ def test_tiff_written_and_read(spark, tmp_path):
     assert got == {("a", 0, 0, 1.5), ("a", 1, 2, -2.25), ("b", 0, 1, 7.0)}
 
 
+def test_tiled_files_with_transform_and_code(spark, tmp_path):
+    layers = spark.createDataFrame([("a", y, x, y * 10.5 + x / 3) for y in range(7) for x in range(9) if (y, x) != (2, 2)], "layer string, pixel_y int, pixel_x int, value double")
+    geo = [92.0, 0.1, 0.0, 14.0, 0.0, -0.2]
+    pixels.write_tiffs(layers, f"file://{tmp_path}/out", 7, 9, geo, tile=4)
+    assert pixels.geo_of((tmp_path / "out" / "a.tif").read_bytes()) == (geo, 4326)
+    got = {(r.pixel_y, r.pixel_x): r.value for r in pixels.read_tiff_layers(spark, str(tmp_path / "out")).collect()}
+    assert got == {(r.pixel_y, r.pixel_x): pytest.approx(r.value, rel=1e-6) for r in layers.collect()}
+
+
 def test_small_helpers(spark):
     from kestrelgrid.functions.names import impact_direction
     from kestrelgrid.functions.pixels import in_range
