@@ -1,6 +1,6 @@
 """Imports every query module, so that the registry is complete."""
 
-from . import composed, ecosystem, occurrence, raster, spatial
+from . import composed, ecosystem, exchange, helpers, occurrence, raster, spatial
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "composed", "ecosystem", "occurrence", "raster", "spatial"]
+__all__ = ["ORACLES", "QUERIES", "composed", "ecosystem", "exchange", "helpers", "occurrence", "raster", "spatial"]

@@ -127,3 +127,8 @@ def read_projected(spark: SparkSession, path: str, columns: dict[str, str]) -> D
     """A CSV scan of some columns with given types; values that don't parse become null."""
     raw = spark.read.option("header", True).csv(path)
     return raw.select(*[F.col(c).try_cast(kind).alias(c) for c, kind in columns.items()])
+
+
+def read_inferred(spark: SparkSession, path: str) -> DataFrame:
+    """A whole CSV report, with types from its values; a second scan finds them, so it is for reports and not for raw files."""
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)
