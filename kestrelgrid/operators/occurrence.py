@@ -187,6 +187,16 @@ def attrition(steps: list[tuple[str, DataFrame]]) -> DataFrame:
     return out
 
 
+def step_counts(df: DataFrame, steps: dict[str, Column]) -> DataFrame:
+    """(step, records, species) of steps that are conditions on the same rows, from one pass: counts by species, then over these."""
+    flags = {name: F.coalesce(c, F.lit(False)) for name, c in steps.items()}
+    per = df.groupBy("species_name").agg(*[F.count_if(c).alias(name) for name, c in flags.items()])
+    counted = F.col("species_name").isNotNull()
+    row = per.agg(*[F.array(F.coalesce(F.sum(F.col(f"`{n}`")), F.lit(0)), F.count_if(counted & (F.col(f"`{n}`") > 0))).alias(n) for n in steps])
+    out = row.unpivot([], [f"`{n}`" for n in steps], "step", "v")
+    return out.select("step", F.col("v")[0].alias("records"), F.col("v")[1].alias("species"))
+
+
 def region_year_coverage(df: DataFrame, split: float = 10.5) -> DataFrame:
     """Per year: records of each region and in all, and species richness; zero where a region has none."""
     where = region(F.col("latitude"), split)
@@ -204,7 +214,7 @@ def validation_gate(df: DataFrame, species_before: DataFrame, box: tuple[float,
     )
     one = rows.crossJoin(cells).crossJoin(named).crossJoin(total)
     kept = F.try_divide(F.col("after") * 100.0, F.col("before"))
-    messages = [
+    messages = [  # the report's texts, fixed values
         F.when(kept < retention, F.concat(F.lit("Species retention "), F.round(kept, 1).cast("string"), F.lit(f"% < {retention:.0f}%"))),
         F.when(F.col("densest") > density, F.concat(F.lit("Max grid density "), F.col("densest").cast("string"), F.lit(f" > {density}"))),
         F.when(F.col("outside") > 0, F.lit("Coordinates outside bounds")),

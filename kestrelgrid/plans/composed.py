@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.coords import utm46
 from ..operators import audit, background, extract, feature_grid, stack, stats, stencil
-from ..operators.occurrence import draw_order
+from ..operators.occurrence import draw_order, first_of
 from .mapping import MOSAIC, NAMED, OCCURRENCES, PIXELS, mosaics, occurrences, read, round6, round9
 from .occurrence import _named
 from .registry import query
+from .spatial import _THIN, _U
 
 H, W_ = 20, 24
 GEO = [92.0, 0.1, 0.0, 14.0, 0.0, -0.4]
@@ -65,11 +66,35 @@ def effort_audit(spark: SparkSession, d: str) -> DataFrame:
     return round6(background.effort_audit(_kde(spark, d), land.count(), H * W_, GEO))
 
 
-@query("background_pool")
+def _utm(name: str, src: str) -> str:
+    """CTEs that add x and y in metres to (longitude, latitude)."""
+    return f"""{name}a AS (SELECT *, radians(latitude) AS phi, radians(longitude - 93.0::DOUBLE) AS lam, 0.0016792203863836474::DOUBLE AS n FROM {src}), {name}b AS (SELECT *, 2 * sqrt(n) / (1 + n) AS e FROM {name}a),
+{name}c AS (SELECT *, sinh(atanh(sin(phi)) - e * atanh(e * sin(phi))) AS t FROM {name}b),
+{name}d AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta, 6378137.0::DOUBLE / (1 + n) * (1 + n ** 2 / 4 + n ** 4 / 64) AS r, n / 2 - 2 * n ** 2 / 3 + 5 * n ** 3 / 16 AS a1, 13 * n ** 2 / 48 - 3 * n ** 3 / 5 AS a2, 61 * n ** 3 / 240 AS a3 FROM {name}c),
+{name} AS (SELECT * EXCLUDE (phi, lam, n, e, t, xi, eta, r, a1, a2, a3), 500000 + 0.9996 * r * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)) AS x,
+  0.9996 * r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)) AS y FROM {name}d)"""
+
+
+_POOL = f"""WITH RECURSIVE {NAMED}, {_KDE},
+reach(id, y, x) AS (SELECT pixel_y * 1000 + pixel_x, pixel_y, pixel_x FROM la UNION SELECT reach.id, la.pixel_y, la.pixel_x FROM reach JOIN la ON abs(la.pixel_y - reach.y) + abs(la.pixel_x - reach.x) = 1),
+root AS (SELECT y, x, min(id) AS cl FROM reach GROUP BY y, x),
+cand AS (SELECT cl, value AS weight, 92.0 + (pixel_x + 0.5) * 0.1::DOUBLE AS longitude, 14.0 - (pixel_y + 0.5) * 0.4::DOUBLE AS latitude, pixel_y::BIGINT * 2147483648 + pixel_x AS id FROM kde JOIN root ON y = pixel_y AND x = pixel_x WHERE value > 0),
+strat AS (SELECT cl, CASE WHEN avg(latitude) > 10 THEN 'Andaman' ELSE 'Nicobar' END AS stratum FROM cand GROUP BY cl), cs AS (SELECT cand.*, stratum FROM cand JOIN strat USING (cl)),
+pr AS (SELECT occurrence_id AS id, longitude, latitude, year, month FROM named QUALIFY row_number() OVER (PARTITION BY occurrence_id ORDER BY longitude, latitude, year, month) = 1), {_utm('cc', 'cs')}, {_utm('pp', 'pr')}, pl AS (SELECT DISTINCT x, y FROM pp),
+far AS (SELECT * FROM cc WHERE NOT EXISTS (SELECT 1 FROM pl WHERE (cc.x - pl.x) ** 2 + (cc.y - pl.y) ** 2 <= 1000000)),
+drawn AS (SELECT * FROM far QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY -ln({_U.format(key='id')}) / greatest(sqrt(weight), 1e-12), id) <= CASE stratum WHEN 'Andaman' THEN 105 ELSE 45 END),
+{_THIN.format(u=_U.format(key='id'), src='drawn', r='500.0::DOUBLE')}, th AS (SELECT unnest(kept) AS k FROM visit WHERE n = (SELECT max(n) FROM o)), po AS (SELECT drawn.* FROM drawn JOIN th ON drawn.id = th.k.id),
+nb AS (SELECT po.id, pp.year, pp.month, row_number() OVER (PARTITION BY po.id ORDER BY sqrt((po.x - pp.x) ** 2 + (po.y - pp.y) ** 2), pp.id) AS rank FROM po, pp QUALIFY rank <= 25),
+ch AS (SELECT *, count(*) OVER (PARTITION BY id) AS n, {_U.format(key='id')} AS u FROM nb)
+SELECT round(longitude, 6) AS longitude, round(latitude, 6) AS latitude, year, month, 0 AS target, stratum, round(weight, 6) AS weight, id AS cell FROM po JOIN ch USING (id) WHERE rank = floor(u * n) + 1"""
+
+
+@query("background_pool", _POOL)
 def background_pool(spark: SparkSession, d: str) -> DataFrame:
     _, land = _effort(spark, d)
     presence = _named(spark, d).select(F.col("occurrence_id").alias("id"), "longitude", "latitude", "year", "month")
-    return background.background_pool(_kde(spark, d), land, presence, GEO, goal=150)
+    presence = first_of(presence, ["id"], ["longitude", "latitude", "year", "month"])  # ids name presences here
+    return round6(background.background_pool(_kde(spark, d), land, presence, GEO, goal=150))
 
 
 @query("utm_project", f"""WITH {OCCURRENCES}, p AS (SELECT DISTINCT latitude, longitude, radians(latitude) AS phi, radians(longitude - 93.0::DOUBLE) AS lam, 0.0016792203863836474::DOUBLE AS n FROM occ WHERE latitude > 0 AND longitude > 0),

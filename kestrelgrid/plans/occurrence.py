@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.coords import in_box, valid_position
 from ..operators import occurrence as occ
 from ..sources.occurrence import harmonise, union_sources
 from ..sources.scratch import materialise
@@ -158,11 +159,12 @@ def grid_density(spark: SparkSession, d: str) -> DataFrame:
 
 @query("attrition_track", f"WITH {THINNED} " + " UNION ALL ".join(f"SELECT '{n}' AS step, count(*) AS records, count(DISTINCT species_name) AS species FROM {t}" for n, t in (("1_Ingestion", "occ"), ("3_Temporal", "timely"), ("4_Spatial", "placed"), ("4.5_Duplicates", "single"), ("5_Taxonomy", "named"), ("6_Migratory", "migratory"), ("7_Thinning", "thinned"))))
 def attrition_track(spark: SparkSession, d: str) -> DataFrame:
-    raw = occurrences(spark, d)
-    timely = _dated(spark, d)
-    placed = occ.spatial_filter(timely)
+    at, raw = F.col("observation_date"), occurrences(spark, d)
+    timely = F.coalesce("year", F.year(at)).between(*YEARS) & F.coalesce("month", F.month(at)).isNotNull()
+    placed = timely & valid_position(F.col("latitude"), F.col("longitude")) & in_box(F.col("latitude"), F.col("longitude"))
     single, named, migratory, thinned = _stages(spark, d)
-    return occ.attrition([("1_Ingestion", raw), ("3_Temporal", timely), ("4_Spatial", placed), ("4.5_Duplicates", single), ("5_Taxonomy", named), ("6_Migratory", migratory), ("7_Thinning", thinned)])
+    filters = occ.step_counts(raw, {"1_Ingestion": F.lit(True), "3_Temporal": timely, "4_Spatial": placed})
+    return filters.unionAll(occ.attrition([("4.5_Duplicates", single), ("5_Taxonomy", named), ("6_Migratory", migratory), ("7_Thinning", thinned)]))
 
 
 @query("validation_gate", f"""
