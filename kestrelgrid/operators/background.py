@@ -37,7 +37,7 @@ def background_pool(effort: DataFrame, land: DataFrame, presence: DataFrame, geo
     nearest presences is borrowed.
     """
     shares = shares or SHARES
-    p = projected(presence, "id")
+    p, _ = materialise(projected(presence, "id"), "presence")
     c = projected(candidates(effort, land, geo, split), "cell")
     far = spatial.radius_anti_join(c, p, buffer_m)
     drawn, _ = materialise(sampling.weighted_stratified_sample(far, "stratum", "weight", {k: int(goal * v) for k, v in shares.items()}, ["id"], seed), "drawn")
