@@ -243,10 +243,12 @@ def warp_bilinear(spark: SparkSession, d: str) -> DataFrame:
 
 @query("tile_mosaic", "SELECT (l_suppkey % 12)::INT AS pixel_y, (l_partkey % 12)::INT AS pixel_x, arg_max(l_quantity, (l_orderkey * 10 + l_linenumber)) FILTER (l_linenumber <> 2) AS value FROM lineitem GROUP BY 1, 2 HAVING count(*) FILTER (l_linenumber <> 2) > 0")
 def tile_mosaic(spark: SparkSession, d: str) -> DataFrame:
-    """Where tiles overlap the last one with a value wins."""
+    """Where tiles overlap the last one with a value wins; of equal (orderkey, linenumber) the row that stands first in the files, as ``arg_max`` keeps it."""
     n = F.col("l_linenumber")
-    tiles = read(spark, d, "lineitem").select((F.col("l_suppkey") % 12).cast("int").alias("pixel_y"), (F.col("l_partkey") % 12).cast("int").alias("pixel_x"), F.when(n != 2, F.col("l_quantity")).alias("value"), (F.col("l_orderkey") * 10 + n).alias("tile"))
-    return stack.mosaic(tiles, ["pixel_y", "pixel_x"], "tile")
+    cell = [(F.col("l_suppkey") % 12).cast("int").alias("pixel_y"), (F.col("l_partkey") % 12).cast("int").alias("pixel_x")]
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    tiles = read(spark, d, "lineitem").select(*cell, *place, F.when(n != 2, F.col("l_quantity")).alias("value"), (F.col("l_orderkey") * 10 + n).alias("tile"), (n != 2).alias("covers"))
+    return stack.mosaic(tiles, ["pixel_y", "pixel_x"], "tile", ("file", "row"), F.col("covers"))
 
 
 @query("report_head", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY o_custkey LIMIT 3")

@@ -1,11 +1,13 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kestrelgrid.functions import coords, pixels
 from kestrelgrid.operators import stack, stencil
+from kestrelgrid.plans.catalog import ORACLES, QUERIES
 
 
 def table(spark, a):
@@ -146,3 +148,27 @@ def test_pixel_index_truncates_toward_zero(spark):
 def test_clip_keeps_null(spark):
     df = spark.createDataFrame([(None,), (5.0,), (-5.0,)], "v double")
     assert [r.c for r in df.select(pixels.clip(F.col("v"), 0.0, 1.0).alias("c")).collect()] == [None, 1.0, 0.0]
+
+
+#: Two cells: rows of one (orderkey, linenumber), nulls in each column, line 2 alone; a cell of line 2 and a cell of null quantities.
+LINES = [(5, 1, 1, 3, 10.0), (9, 1, 1, 2, 11.0), (7, 1, 1, 4, None), (6, 1, 1, 5, 45.0), (6, 13, 13, 5, 42.0), (6, 1, 1, 5, 50.0), (None, 1, 1, 1, 9.0), (8, 1, 1, None, 8.0), (-1, 2, 1, 1, -3.0), (-1, 2, 1, 1, -2.0), (3, 3, 1, 2, 1.0), (3, 4, 1, 1, None), (None, 5, 1, 1, 4.0), (1, None, 1, 1, 6.0), (1, None, 1, 1, 7.0)]
+LINE_SCHEMA = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double"
+
+
+@pytest.mark.parametrize("cuts", [(0, 15), (0, 5, 15), (0, 4, 5, 9, 15)])
+def test_tile_mosaic_of_equal_keys_and_nulls_equals_its_sql(spark, tmp_path, cuts):
+    """Of equal keys the row that stands first in the files wins, as ``arg_max`` in one thread has it, in one file or several."""
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+        spark.createDataFrame(LINES[a:b], LINE_SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet/part={k}")
+    con = duckdb.connect()
+    con.sql("SET threads = 1")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*/*.parquet')")
+    want = con.sql(ORACLES["tile_mosaic"]).fetchall()
+    assert (1, 1, 45.0) in want and len(want) == 5
+    assert sorted(map(tuple, QUERIES["tile_mosaic"](spark, str(tmp_path)).collect()), key=str) == sorted(want, key=str)
+
+
+def test_mosaic_orders_without_overflow(spark):
+    far = [(0, -(2**63), 0, 1.0), (0, 2**63 - 1, 9, 2.0), (0, 2**63 - 1, 3, 3.0), (1, -(2**63), 8, 5.0), (1, -(2**63), 7, 4.0)]
+    df = spark.createDataFrame([(*r, "f") for r in far], "cell int, tile long, row long, value double, file string")
+    assert sorted(map(tuple, stack.mosaic(df, ["cell"], "tile", ("file", "row")).collect())) == [(0, 3.0), (1, 4.0)]
