@@ -172,3 +172,14 @@ def test_mosaic_orders_without_overflow(spark):
     far = [(0, -(2**63), 0, 1.0), (0, 2**63 - 1, 9, 2.0), (0, 2**63 - 1, 3, 3.0), (1, -(2**63), 8, 5.0), (1, -(2**63), 7, 4.0)]
     df = spark.createDataFrame([(*r, "f") for r in far], "cell int, tile long, row long, value double, file string")
     assert sorted(map(tuple, stack.mosaic(df, ["cell"], "tile", ("file", "row")).collect())) == [(0, 3.0), (1, 4.0)]
+
+
+def test_tile_mosaic_of_repeated_tables_with_shifted_keys_equals_its_sql(spark, tmp_path):
+    """sf0.01 holds two rows of one largest key in a cell; four copies are more than one row group."""
+    con = duckdb.connect()
+    con.sql("SET threads = 1")
+    con.sql("CREATE VIEW once AS SELECT * FROM '/root/testdata/sf0.01/lineitem.parquet'")
+    con.sql(f"COPY (SELECT l_orderkey + i * (SELECT max(l_orderkey) + 1 FROM once) AS l_orderkey, * EXCLUDE (l_orderkey) FROM range(4) t(i), once) TO '{tmp_path}/lineitem.parquet' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    got = sorted(map(tuple, QUERIES["tile_mosaic"](spark, str(tmp_path)).collect()))
+    assert got == sorted(con.sql(ORACLES["tile_mosaic"]).fetchall())
