@@ -1,7 +1,8 @@
 """Token counts by a two-tier lookup on the map side.
 
 Tier one is a broadcast hash table of frequent pre-tokens and their token counts, tier two a bounded
-cache in each worker that encodes a missing pre-token once. No pre-token is ever shuffled.
+cache in each worker that encodes a missing pre-token once. Which are frequent is counted over all texts;
+only those counts are shuffled, a word and a number for each part of a task.
 """
 
 from __future__ import annotations
@@ -9,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,31 +19,39 @@ from pyspark.sql import functions as F
 from .common import per_batch, text_or_empty
 from .word_bpe import Cached, load
 
-#: Words of the broadcast table, and texts from which it is learned, drawn by hash from the whole table; neither changes a count.
-TABLE_WORDS, SAMPLE_TEXTS = 16_384, 32_768
+#: Words of the broadcast table; it changes speed, never a count.
+TABLE_WORDS = 16_384
+#: Distinct words, and characters in them, that a task counts before it hands its counts on and starts afresh.
+HELD_WORDS, HELD_CHARS = 262_144, 16_777_216
 MAX_TOKENS = 2_048
 
 
-def frequent_lengths(docs: DataFrame, path: str, key: str = "doc_id", column: str = "text", words: int = TABLE_WORDS, sample: int = SAMPLE_TEXTS) -> dict[str, int]:
-    """The most frequent pre-tokens of about ``sample`` texts drawn by hash from all rows, and their token counts.
+def frequent_lengths(docs: DataFrame, path: str, column: str = "text", words: int = TABLE_WORDS) -> dict[str, int]:
+    """The ``words`` most frequent pre-tokens of all texts, and their token counts. Ties go to the smaller word.
 
-    Each partition counts its drawn texts and gives its most frequent words; these counts are added up, and
-    at most ``words`` rows reach the driver at any corpus size. Ties go to the smaller word.
+    Every pre-token of every row counts: tasks hand on their counts whole, in parts of bounded size, and these
+    are added up by word. ``words`` rows reach the driver at any corpus size.
     """
-    every = max(1, docs.count() // sample)
-    drawn = docs.select(docs[key].cast("string").alias("key"), text_or_empty(column)).where(F.pmod(F.xxhash64("key", column), F.lit(every)) == 0)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, seen = load(path), Counter()
+        bpe, seen, chars = load(path), Counter(), 0
+
+        def counted() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+
         for batch in batches:
             for text in batch.column(0):
+                before = len(seen)
                 seen.update(w for w in bpe.words(text.as_py()) if isinstance(w, str))
-            if len(seen) > 32 * words:  # rare words go; the table may then lack one that is near its end
-                seen = Counter(dict(seen.most_common(4 * words)))
-        top = seen.most_common(words)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64())], ["word", "n"])
-
-    found = drawn.select(column).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
+                if len(seen) > before:
+                    chars += sum(map(len, islice(reversed(seen), len(seen) - before)))
+                if len(seen) > HELD_WORDS or chars > HELD_CHARS:
+                    yield counted()
+                    seen, chars = Counter(), 0
+        yield counted()
+
+    counts = docs.select(text_or_empty(column)).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    found = counts.orderBy(F.desc("n"), "word").limit(words).coalesce(1)  # a task merges the partitions' first words; a bare limit would have the driver do it
     bpe = load(path)
     return {r.word: len(bpe.word_ids(r.word)) for r in found.collect()}
 
@@ -69,7 +79,7 @@ def token_counts(docs: DataFrame, path: str, key: str = "doc_id", column: str =
     columns are ignored, an empty table gives no rows, and texts of any length are counted whole.
     """
     spark = docs.sparkSession
-    table, tag = spark.sparkContext.broadcast(frequent_lengths(docs, path, key, column)), uuid.uuid4().hex
+    table, tag = spark.sparkContext.broadcast(frequent_lengths(docs, path, column)), uuid.uuid4().hex
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         bpe = load(path)

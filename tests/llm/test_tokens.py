@@ -40,6 +40,30 @@ def test_a_small_table_and_cache_change_nothing(spark, monkeypatch):
     assert len(cache) <= 2
 
 
+def test_the_table_counts_every_text(spark):
+    """Words that stand in one text of 70,000 each are all in the table."""
+    rare = [f"rare{chr(97 + k)}" for k in range(20)]
+    df = spark.range(70_000).selectExpr("id AS doc_id", "CASE WHEN id % 3500 = 0 THEN concat('rare', char(97 + int(id / 3500))) ELSE 'often' END AS text")
+    assert set(token_counts.frequent_lengths(df, PATH)) == {"often", *rare}
+
+
+def test_the_table_ranks_by_the_counts_of_all_partitions(spark):
+    """A word that two others precede in each partition, but none in the sum."""
+    texts = [(p, " ".join(["most"] * 5 + [f"own{'abcd'[p]}"] * 6 + [f"other{'abcd'[p]}"] * 7)) for p in range(4)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(texts, 4), "doc_id long, text string")
+    assert set(token_counts.frequent_lengths(df, PATH, words=2)) == {"most", "othera"}
+
+
+def test_counts_handed_on_in_parts_are_whole(spark, monkeypatch):
+    df = documents(spark)
+    want = token_counts.frequent_lengths(df, PATH, words=50)
+    monkeypatch.setattr(token_counts, "HELD_WORDS", 3)
+    assert token_counts.frequent_lengths(df, PATH, words=50) == want
+    monkeypatch.setattr(token_counts, "HELD_WORDS", 10**9)
+    monkeypatch.setattr(token_counts, "HELD_CHARS", 5)
+    assert token_counts.frequent_lengths(df, PATH, words=50) == want
+
+
 def test_empty_table(spark):
     df = documents(spark).limit(0)
     assert token_counts.token_counts(df, PATH).count() == 0
