@@ -70,9 +70,9 @@ def aligned(grids: DataFrame, reference: DataFrame, tolerance: float = 1e-9) ->
 def mosaic(tiles: DataFrame, keys: list[str], order: str, place: tuple[str, str] | None = None, covers: Column | None = None) -> DataFrame:
     """One value a cell where tiles overlap: that of the last tile in order which has one.
 
-    With ``place``, a row's file and its number there, the order is a whole number, and of rows of one order the
-    first by place wins; without, it is any of them. Cells without a value are left out; with ``covers`` those that
-    have a row for which it holds stay, as null.
+    With ``place``, a row's file (as ``_metadata.file_path`` gives it) and its number there, the order is a whole
+    number, and of rows of one order the first by place wins; files stand by folder, then by name. Without, it is any
+    of them. Cells without a value are left out; with ``covers`` those that have a row for which it holds stay, as null.
     """
     rows, has = tiles.where("value IS NOT NULL" if covers is None else covers), F.col("value").isNotNull()
     if place is None:
@@ -81,7 +81,10 @@ def mosaic(tiles: DataFrame, keys: list[str], order: str, place: tuple[str, str]
     # order and row in one number, as a struct would have every row sorted: 64 bits times 10^18 less a row number fit 38 digits
     last = F.when(has, F.col(order).cast("decimal(19,0)") * F.lit(10**18).cast("decimal(19,0)") - F.col(row).cast("decimal(18,0)"))
     each = rows.groupBy(*keys, file).agg(F.max_by("value", last).alias("value"), F.max(F.when(has, F.col(order))).alias("__last"))
-    return each.groupBy(*keys).agg(F.min_by("value", F.when(F.col("__last").isNotNull(), F.struct(F.bitwise_not("__last"), file))).alias("value"))
+    # blanks, brackets and their like are encoded in the path, and would stand elsewhere
+    path = F.when(F.contains(file, F.lit("%")), F.url_decode(F.replace(F.col(file), F.lit("+"), F.lit("%2B")))).otherwise(F.col(file))
+    folder, name = F.regexp_replace(path, "/[^/]*$", ""), F.substring_index(path, "/", -1)
+    return each.groupBy(*keys).agg(F.min_by("value", F.when(F.col("__last").isNotNull(), F.struct(F.bitwise_not("__last"), folder, name))).alias("value"))
 
 
 def mosaic_audit(series: DataFrame, total_pixels: int) -> DataFrame:

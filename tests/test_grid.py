@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import duckdb
@@ -183,3 +184,18 @@ def test_tile_mosaic_of_repeated_tables_with_shifted_keys_equals_its_sql(spark,
     con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
     got = sorted(map(tuple, QUERIES["tile_mosaic"](spark, str(tmp_path)).collect()))
     assert got == sorted(con.sql(ORACLES["tile_mosaic"]).fetchall())
+
+
+@pytest.mark.parametrize("files", [["a b.parquet", "a!b.parquet", "a$b.parquet"], ["a^b.parquet", "a+c.parquet", "a+b.parquet", "a_b.parquet"], ["a%b.parquet", "a$b.parquet", "aéb.parquet", "a{b.parquet", "azb.parquet"], ["k=REG AIR/x.parquet", "k=REG/x.parquet", "k=REG/x y.parquet"]])
+def test_tile_mosaic_takes_files_in_the_order_of_its_sql(spark, tmp_path, files):
+    """Blanks and other characters are encoded in a file's path; a folder's files stand together, after those of a shorter name."""
+    con = duckdb.connect()
+    con.sql("SET threads = 1")
+    top = tmp_path / "lineitem.parquet"
+    cells = itertools.combinations(range(len(files)), 2)  # a cell for any two files, each with a row of the largest key
+    rows = [(f, cell) for cell, two in enumerate(cells) for f in two]
+    for f, file in enumerate(files):
+        (top / file).parent.mkdir(parents=True, exist_ok=True)
+        con.sql(f"COPY (SELECT 7::BIGINT AS l_orderkey, c::BIGINT AS l_partkey, 0::BIGINT AS l_suppkey, 1 AS l_linenumber, {f}::DOUBLE AS l_quantity FROM (SELECT unnest({[c for g, c in rows if g == f]}) AS c)) TO '{top / file}' (FORMAT parquet)")
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{top}/**/*.parquet')")
+    assert sorted(map(tuple, QUERIES["tile_mosaic"](spark, str(tmp_path)).collect())) == sorted(con.sql(ORACLES["tile_mosaic"]).fetchall())
